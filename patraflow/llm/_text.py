@@ -64,12 +64,12 @@ def lower(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
 
-def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words(data: np.ndarray, at: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Byte positions of the words' starts and ends, and for each row the number of its first word (one more for the end)."""
     if not len(data):
         z = np.zeros(0, np.int64)
         return z, z, np.zeros(len(at), np.int64)
-    inside = ~_SPACE[data]
+    inside = ~space[data]
     before = np.concatenate([[False], inside[:-1]])
     after = np.concatenate([inside[1:], [False]])
     before[at[:-1][at[:-1] < len(data)]] = False
