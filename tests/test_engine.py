@@ -158,7 +158,7 @@ def test_chunks(spark):
     assert got[0].chunk_id.startswith("chunk-00000-") and len(got[0].chunk_id) == 24
     lines = sinks.to_jsonl(chunk.chunk_text(d)).orderBy("index").collect()
     assert '"page_range":null' in lines[0].line and '"segment_kind":"table_row"' in lines[1].line
-    assert [r.index for r in chunk.pick(chunk.chunk_text(d), -1).collect()] == [2]
+    assert [r["index"] for r in chunk.pick(chunk.chunk_text(d), -1).collect()] == [2]
     with pytest.raises(ValueError):
         chunk.ChunkConfig(max_words=0)
 
