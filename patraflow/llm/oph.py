@@ -50,6 +50,8 @@ def sketches(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         r, c = r[~ok], c[~ok]
     if len(r):  # no attempt met a filled bin: the first filled one
         bins[r, c] = bins[r, filled[r].argmax(1)]
+    # low bits of a hash of bin and value, so that bins that share a value by densification agree by chance independently
+    bins = X.mix(bins + np.arange(BINS, dtype=np.uint64) * U(0x9E3779B97F4A7C15))
     return (bins & U((1 << BITS) - 1)).astype(np.uint8), some
 
 
