@@ -29,7 +29,7 @@ def predict_rows(docs: DataFrame, model, i: int) -> DataFrame:
     """docs with column i replaced by the predicted language, without the rows that are `und`. Rows stay together: no join."""
     packed = docs.select(F.struct(*docs.columns).alias("row"), "text")
     named = predict(packed, model, "row", "text")
-    columns = [F.col("lang_pred").alias(c) if k == i else F.col(f"row.{c}").alias(c) for k, c in enumerate(docs.columns)]
+    columns = [F.col("lang_pred").alias(c) if k == i else F.col(f"doc_id.{c}").alias(c) for k, c in enumerate(docs.columns)]
     return named.where("lang_pred <> 'und'").select(*columns)
 
 
