@@ -9,8 +9,10 @@ classes. Exact steps, each of which keeps every link:
    the parity sketch of its block. The sketches' Hamming distance is at most the symmetric difference, so at most d blocks differ and
    linked sets agree in a block in which both have shingles. Where a sketch has no more than d such blocks, its smallest shingles join
    instead (a prefix that linked sets must share).
-3. Classes meet the first and the last class of each key, not all of it. Then components are built; only keys that still hold several
-   components pair classes of different components.
+3. Every class meets one class only, the pivot: of the smallest classes of its keys the one that most classes meet. Verified pairs give
+   components. Keys that still hold several components pair classes of different components, but only where the symmetric difference can
+   be small enough: with a common pivot P, |A d B| >= u(A) + u(B) + ||P - A| - |P - B||, u being the shingles that no other such class has.
+   The bound is met by an equi-join on its buckets, so pairs that it rules out are never made.
 4. Pairs are pruned by the Hamming distance of short dense sketches, then verified on the whole sets.
 """
 
@@ -22,7 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as X
-from ._store import save
+from ._bitmap import bitmap, may_contain
+from ._store import release, save
 from .components import components
 
 #: Sixteenths of the hash space that step 1 counts; above 0.2.
@@ -131,33 +134,80 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", "na", "nb", shared.alias("i")).where("100 * i >= 80 * (na + nb - i)").select("a", "b")
 
 
+def _pivoted(live: DataFrame, sets: DataFrame) -> DataFrame:
+    """Each class with its pivot: rep, n, p, lost (shingles of the pivot that it lacks), linked. A pivot's set goes to as many tasks as its
+    classes need."""
+    votes = live.where("low < rep").groupBy("low", "rep").agg(F.count("*").alias("v"))
+    fame = votes.groupBy("low").agg(F.count("*").alias("fame"))
+    best = votes.join(fame, "low").groupBy("rep").agg(F.max(F.struct("fame", (-F.col("low")).alias("m"))).alias("x")).select("rep", (-F.col("x.m")).alias("p"))
+    best = save(best, "pivots")
+    copies = best.groupBy("p").agg(F.ceil(F.count("*") / 256).cast("int").alias("copies"))
+    pivots = sets.join(copies, F.col("rep") == F.col("p")).select("p", "copies", F.col("n").alias("np"), F.col("hashes").alias("hp"), F.explode(F.expr("sequence(0, copies - 1)")).alias("salt"))
+    members = sets.select("rep", "n", "hashes").join(best, "rep").join(copies, "p").withColumn("salt", F.pmod(F.xxhash64("rep"), F.col("copies")).cast("int")).drop("copies")
+    i = F.size(F.array_intersect("hashes", "hp"))
+    met = members.join(pivots.drop("copies"), ["p", "salt"]).select("rep", "n", "p", "np", i.alias("i"))
+    met = met.select("rep", "n", "p", (F.col("np") - F.col("i")).alias("lost"), F.expr("100 * i >= 80 * (n + np - i)").alias("linked"))
+    alone = sets.select("rep", "n").join(best.select("rep"), "rep", "left_anti").select("rep", "n", F.col("rep").alias("p"), F.lit(0).cast("long").alias("lost"), F.lit(False).alias("linked"))
+    return met.unionByName(alone)
+
+
+def _cross(reps: DataFrame, shared: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of classes of different components that the bounds leave. reps: rep, label, n, p, lost, of the classes in keys with
+    several components; shared: key, rep of these keys."""
+    hashes = sets.join(reps.select("rep"), "rep").select("rep", F.explode("hashes").alias("h"))
+    own = hashes.groupBy("h").agg(F.min("rep").alias("rep"), F.max("rep").alias("other")).where("rep = other").groupBy("rep").agg(F.count("*").alias("u"))
+    size = reps.groupBy("p", "label").agg(F.count("*").alias("k")).groupBy("p").agg(F.max(F.struct("k", "label")).alias("x")).select("p", F.col("x.label").alias("top"))
+    rows = reps.join(own, "rep", "left").na.fill(0, ["u"]).join(size, "p")
+    # nine times the bounds, in whole numbers: a pair needs low(a) <= high(b) and low(b) <= high(a)
+    rows = rows.withColumns({"low": F.expr("9 * (u + lost) - n"), "high": F.expr("9 * (lost - u) + n")})
+    bucket = lambda c: F.floor(F.col(c) * 4 / F.col("n")).cast("int")
+    rows = save(rows.withColumns({"from": bucket("low"), "to": F.greatest(F.lit(-40), F.least(F.lit(40), bucket("high")))}), "open")
+    # sizes of linked sets differ by a quarter at most, so buckets in units of n / 4 are compared after widening by that ratio
+    widened = F.when(F.col("from") >= 0, F.floor(F.col("from") * 0.79)).otherwise(F.floor(F.col("from") * 1.26) - 2).cast("int")
+    query = rows.where("label <> top").withColumn("bucket", F.explode(F.sequence(F.least(F.greatest(widened, F.lit(-40)), F.lit(40)), F.lit(40))))
+    cols = ["rep", "label", "n", "p", "u", "low", "high", "top"]
+    side = lambda x, t: x.select(*[F.col(c).alias(f"{t}_{c}") for c in cols], *[F.col(c).alias(f"{t}_bucket") for c in ["bucket"] if c in x.columns])
+    q, i = side(query, "q"), side(rows.withColumn("bucket", F.col("to")), "i")
+    fits = F.expr("q_label <> i_label and q_low <= i_high and i_low <= q_high and (i_label = i_top or struct(q_low, q_rep) > struct(i_low, i_rep))")
+    same = q.join(i, (F.col("q_p") == F.col("i_p")) & (F.col("q_bucket") == F.col("i_bucket")) & fits)
+    # different pivots: by key, from the classes whose pivot is not the key's most frequent one
+    keyed = shared.join(rows.select("rep", "label", "n", "p", "u"), "rep")
+    most = keyed.groupBy("key", "p").agg(F.count("*").alias("k")).groupBy("key").agg(F.max(F.struct("k", "p")).alias("x"), F.count("*").alias("ps")).where("ps > 1").select("key", F.col("x.p").alias("top"))
+    keyed = keyed.join(most, "key")
+    q2, i2 = (x.select("key", *[F.col(c).alias(f"{t}_{c}") for c in ["rep", "label", "n", "p", "u", "top"]]) for x, t in ((keyed.where("p <> top"), "q"), (keyed, "i")))
+    differ = q2.join(i2, "key").where("q_p <> i_p and q_label <> i_label and 9 * (q_u + i_u) <= q_n + i_n and (i_p = i_top or q_rep < i_rep)")
+    return same.select("q_rep", "i_rep").unionByName(differ.select("q_rep", "i_rep")).select(F.least("q_rep", "i_rep").alias("a"), F.greatest("q_rep", "i_rep").alias("b")).distinct()
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id (smallest id reachable by links of similarity >= 0.8).
 
     A null, empty or blank text has an empty set, links with nothing and is its own component. Repeated rows stay. Further columns of
     docs are not read. Ids must be integers; a row with a null id keeps a null id and gets its component's smallest id that is known.
     """
+    spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     base = save(docs.mapInArrow(_base("doc_id", "text", k), "doc_id long, n long, d1 long, d2 long"), "sets")
     classes = base.where("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
     counted = docs.mapInArrow(_counted("text", k), "h long, d1 long").groupBy("h").agg(F.min("d1").alias("d1"), F.max("d1").alias("other"))
     alone = counted.where("d1 = other").groupBy("d1").agg(F.count("*").alias("alone"))
     left = save(classes.where("rep is not null").join(alone, "d1", "left").where("5 * coalesce(alone, 0) <= n").select("rep", "d1", "d2"), "left")
-    chosen = docs.join(left.withColumnRenamed("rep", "doc_id"), "doc_id")
+    release(spark)
+    chosen = may_contain(docs, "doc_id", bitmap(left, "rep")).join(left.withColumnRenamed("rep", "doc_id"), "doc_id")
     sets = save(chosen.select("doc_id", "text", "d1", "d2").mapInArrow(_sketched("text", k), "rep long, n long, dense array<long>, hashes array<long>, keys array<long>"), "sketches").dropDuplicates(["rep"])
     keys = sets.select("rep", F.explode("keys").alias("key"))
-    ends = keys.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high")
+    ends = keys.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("key", "low")
     live = save(keys.join(ends, "key"), "keys")
-    star = live.select(F.explode(F.array(F.array("low", "rep"), F.array("rep", "high"))).alias("p")).select(F.col("p")[0].alias("a"), F.col("p")[1].alias("b"))
-    star = save(star.where("a < b").distinct(), "pairs")
-    links = save(_verified(star, sets), "links")
+    release(spark)
+    met = save(_pivoted(live, sets), "met")
+    links = met.where("linked").select(F.col("p").alias("a"), F.col("rep").alias("b"))
     labels = components(links)
     named = live.select("key", "rep").join(labels, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("label", "rep").alias("label"))
     mixed = named.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("g")).where("l < g").select("key")
-    open_ = save(named.join(mixed, "key"), "open")
-    x, y = (open_.select("key", F.col("rep").alias(r), F.col("label").alias(v)) for r, v in (("a", "la"), ("b", "lb")))
-    cross = x.join(y, "key").where("a < b and la <> lb").select("a", "b").distinct().join(star, ["a", "b"], "left_anti")
-    more = save(_verified(cross, sets), "links")
+    shared = save(live.select("key", "rep").join(mixed, "key").distinct(), "mixed")
+    release(spark)
+    reps = save(shared.select("rep").distinct().join(met.drop("linked"), "rep").join(labels, F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("label", "rep").alias("label"), "n", "p", "lost"), "reps")
+    more = save(_verified(_cross(reps, shared, sets), sets), "links")
     if more.limit(1).count():
         labels = components(links.unionByName(more))
     named = classes.join(labels, F.col("rep") == F.col("node"), "left").select("d1", "d2", F.coalesce("label", "rep").alias("component_id"))

@@ -14,7 +14,6 @@ so equal windows have equal anchors. A segment is a run of windows with one anch
 
 from __future__ import annotations
 
-import gc
 import hashlib
 
 import numpy as np
@@ -23,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as X
-from ._store import save
+from ._store import release, save
 from .fmindex import FMIndex
 
 WINDOW, GRAM, CONTENTS = 20, 8, 256
@@ -209,12 +208,6 @@ def _kept(texts: bool):
     return run
 
 
-def _release(spark) -> None:
-    """Lets Spark drop the shuffle files of saved steps."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts: bool = True) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_removed, kept_sha256 and, with texts, kept (the words left, joined by one space).
 
@@ -231,11 +224,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     single = anchors.where("contents = 1 and total > 1").select("a", "c", "d", F.lit(1).cast("long").alias("contents"))
     mixed = contents.join(anchors.where("contents > 1").select("a", "contents"), "a").select("a", "c", "d", "contents")
     known = save(single.unionByName(mixed), "segments")
-    _release(spark)
+    release(spark)
     want = known.where("contents > 1").groupBy(F.col("d").alias("doc_id")).agg(F.collect_list(F.struct("c", (F.col("contents") > CONTENTS).alias("large"))).alias("want"))
     pieces = rows.join(want, "doc_id").select("doc_id", "text", "want").mapInArrow(_pieces, _PIECE).dropDuplicates(["a", "c", "doc_id"])
     pieces = save(pieces, "pieces")
-    _release(spark)
+    release(spark)
     small = pieces.where("not large").select("a", "c", "doc_id", "start", "words")
     marks = small.repartition(F.col("a")).sortWithinPartitions("a").mapInArrow(_shard, "doc_id long, c long, mask long")
     window = pieces.where("large").select("c", "doc_id", "start", F.posexplode("windows").alias("j", "w"))
