@@ -9,7 +9,7 @@ import re
 from collections.abc import Iterator, Mapping
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -86,6 +86,13 @@ def any_legacy(spans: DataFrame) -> DataFrame:
     return spans.where(~F.coalesce(F.col("synthetic"), F.lit(False)) & (N.classify_font(F.col("font")) == "legacy_mappable")).select("doc_id").distinct()
 
 
-def page_of(location: Column) -> Column:
-    """The page number in a location such as page:3."""
-    return F.expr("try_cast(regexp_extract(location, '([0-9]+)', 1) AS INT)") if location is None else F.regexp_extract(location, r"(\d+)", 1).try_cast("int")
+def normalise_legacy(docs: DataFrame, tables: Tables) -> DataFrame:
+    """Only text, method and converted_fonts of normalise()."""
+    done = normalise(docs, tables)
+    return done.select(*(c for c in docs.columns if c not in ("text", "fonts")), "text", "method", "converted_fonts")
+
+
+def page_texts(spans: DataFrame, tables: Tables) -> DataFrame:
+    """(doc_id, page, text): spans with pages (sources.ingest.page_of_spans), normalised page by page."""
+    keyed = spans.withColumn("doc_id", F.struct("doc_id", "page"))
+    return normalise_spans(keyed, tables).select("doc_id.doc_id", "doc_id.page", "text")

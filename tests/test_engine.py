@@ -215,3 +215,30 @@ def test_stream(spark, tmp_path):
     spark.createDataFrame([(1, "One two. Three.")], "doc_id long, text string").write.parquet(f"{tmp_path}/in")
     chunk_stream(spark, f"{tmp_path}/in", "doc_id long, text string", f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination()
     assert [r.text for r in spark.read.parquet(f"{tmp_path}/out").collect()] == ["One two. Three."]
+
+
+def test_readers(spark, monkeypatch):
+    from patraflow.errors import MultimodalUnavailableError
+    from patraflow.sources import readers
+
+    monkeypatch.delenv("OPENAI_API_KEY", raising=False)
+    assert readers.api_key("openai") is None and readers.describe_availability()["openai"]
+    monkeypatch.setenv("OPENAI_API_KEY", "k")
+    assert readers.api_key("openai") == "k"
+    config = repair.MultimodalConfig("openai", model="m")
+    read = readers.transcriber_reader(config, {"openai": lambda model: lambda png: f"{model}:{png.decode()}"})
+    assert read(1, 0, b"png") == "m:png" and readers.png_to_base64(b"a") == "YQ=="
+    with pytest.raises(MultimodalUnavailableError):
+        readers.transcriber_reader(config, {})
+    with pytest.raises(NotImplementedError):
+        readers.analyse_layout("x")
+    assert repair.resolve_model(config, "call") == "call" and repair.resolve_model(repair.MultimodalConfig("claude"), None, {"claude": "d"}) == "d"
+
+
+def test_page_texts(spark):
+    spans = spark.createDataFrame([("a", 0, "ab", "FMAbhaya", "page:0", False), ("a", 1, "\n", "", "", True), ("a", 2, "c", "Arial", "page:1", False)], "path string, pos int, text string, font string, location string, synthetic boolean")
+    paged = ingest.page_of_spans(spans).withColumnRenamed("path", "doc_id")
+    got = {r.page: r.text for r in normalise.page_texts(paged, {"fm_abhaya": {"a": "1"}}).collect()}
+    assert got == {0: "1b\n", 1: "c"}
+    docs = spark.createDataFrame([(1, "ab", ["FMAbhaya"]), (2, "ab", ["Arial"])], "doc_id long, text string, fonts array<string>")
+    assert {r.doc_id: (r.text, r.method) for r in normalise.normalise_legacy(docs, {"fm_abhaya": {"a": "1"}}).collect()} == {1: ("1b", "font_name"), 2: ("ab", "none")}
