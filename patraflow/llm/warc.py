@@ -58,10 +58,7 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
     out.select("page_id", header.cast("binary").alias("header"), "payload_bytes", "digest", kind.alias("record_type"), "refers_to").write.parquet(f"{path}/records")
     # who stores the bytes of a digest: one row, by (digest, id); equal rows are taken once
     owner = hashed.groupBy("digest").agg(F.min("page_id").alias("owner"), F.count("*").alias("n"))
-    lone = owner.where("n = 1").select("digest")
-    shared = owner.where("n > 1").select("digest", "owner")
-    del lone
-    repeated = shared.select(F.col("digest").alias("d"), "owner")
+    repeated = owner.where("n > 1").select(F.col("digest").alias("d"), "owner")
     bytes_ = all_.select("page_id", "payload", F.sha2("payload", 256).alias("digest"))
     kept = bytes_.join(repeated, F.col("digest") == F.col("d"), "left").where("owner is null or page_id <=> owner")
     # rows that repeat an owner's id and payload
