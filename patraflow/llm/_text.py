@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-LIMIT = 2 << 20
+LIMIT = 1 << 20
 U = np.uint64
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -37,9 +37,9 @@ def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of an odd base modulo 2**64, and those of its inverse."""
     have = _tables.get(base)
     if have is None or len(have[0]) < n:
-        size = max(n, 1 << 16)
+        size = max(1 << 16, 1 << (n - 1).bit_length()) if n <= 2 * LIMIT else n
         have = tuple(np.concatenate([np.ones(1, U), np.cumprod(np.full(size - 1, b, U))]) for b in (base, pow(base, -1, 1 << 64)))
-        if size <= 4 * LIMIT:
+        if size <= 2 * LIMIT:
             _tables[base] = have
     return have
 
