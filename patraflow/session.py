@@ -9,9 +9,14 @@ from pyspark.sql import SparkSession
 
 ROOT = str(Path(__file__).resolve().parent.parent)
 
+#: Rows and bytes of an Arrow batch: with whole texts as values, a batch of the usual 10,000 rows is too much for a small worker.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Lets Python workers on this machine import the package; on a cluster ship it with --py-files."""
+    """Bounds Arrow batches, and lets Python workers on this machine import the package; on a cluster ship it with --py-files."""
+    for key, value in BATCHES.items():
+        spark.conf.set(key, value)
     env = spark.sparkContext.environment
     paths = env.get("PYTHONPATH", "").split(os.pathsep)
     if ROOT not in paths:
