@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as X
+from ._bitmap import bitmap, may_contain
 from ._store import release, save
 from .fmindex import FMIndex
 
@@ -226,7 +227,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     known = save(single.unionByName(mixed), "segments")
     release(spark)
     want = known.where("contents > 1").groupBy(F.col("d").alias("doc_id")).agg(F.collect_list(F.struct("c", (F.col("contents") > CONTENTS).alias("large"))).alias("want"))
-    pieces = rows.join(want, "doc_id").select("doc_id", "text", "want").mapInArrow(_pieces, _PIECE).dropDuplicates(["a", "c", "doc_id"])
+    want = save(want, "wanted")
+    pieces = may_contain(rows, "doc_id", bitmap(want, "doc_id")).join(want, "doc_id").select("doc_id", "text", "want").mapInArrow(_pieces, _PIECE).dropDuplicates(["a", "c", "doc_id"])
     pieces = save(pieces, "pieces")
     release(spark)
     small = pieces.where("not large").select("a", "c", "doc_id", "start", "words")
@@ -238,6 +240,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     marks = marks.unionByName(late.groupBy("doc_id", "c").agg(F.bit_or(F.expr("shiftleft(1L, j)")).alias("mask")))
     other = found.join(known, ["a", "c"]).where("doc_id <> d").select("doc_id", "c", F.lit(-1).cast("long").alias("mask"))
     per_doc = other.unionByName(marks).groupBy("doc_id").agg(F.collect_list(F.struct("c", "mask")).alias("marks"))
-    out = rows.join(per_doc, "doc_id", "left").select("doc_id", "text", "marks").mapInArrow(_kept(texts), _OUT)
+    per_doc = save(per_doc, "marks")
+    release(spark)
+    # only texts that may have marks are moved to them
+    bits = bitmap(per_doc, "doc_id")
+    marked = may_contain(rows, "doc_id", bits).join(per_doc, "doc_id", "left").select("doc_id", "text", "marks")
+    plain = may_contain(rows, "doc_id", bits, False).withColumn("marks", F.lit(None).cast(per_doc.schema["marks"].dataType))
+    out = marked.unionByName(plain).mapInArrow(_kept(texts), _OUT)
     out = out.withColumn("doc_id", F.nullif("doc_id", F.lit(low)))
     return out if texts else out.drop("kept")
