@@ -5,6 +5,8 @@ Work is cut into groups of rows of about LIMIT bytes, so memory follows the long
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +14,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 LIMIT = (1 << 20) - 8
+# Arrays of a megabyte or more go back to the system when they are freed: idle workers stay small, and an executor has several.
+pa.set_memory_pool(pa.system_memory_pool())
+with contextlib.suppress(OSError, AttributeError):
+    ctypes.CDLL(None).mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
 U = np.uint64
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True

@@ -92,7 +92,7 @@ def _tables(model: LanguageModel):
         code[used] = np.arange(len(used))
         parts = [suffix_automaton(s, code, width) for s in model.samples]
         base = np.cumsum([0, *(len(p) for p in parts)])
-        flat = np.concatenate([p + 2 * b for p, b in zip(parts, base, strict=False)]) if parts else np.zeros((1, width), np.int32)
+        flat = np.concatenate([p + np.int32(2 * b) for p, b in zip(parts, base, strict=False)]) if parts else np.zeros((1, width), np.int32)
         bits = np.log2([max(2, len(s)) for s in model.samples])
         _built.clear()
         _built[model] = flat.ravel(), code, width, base[: len(parts)], bits
