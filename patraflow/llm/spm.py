@@ -27,7 +27,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 U = np.uint64
 #: Units whose pieces a worker keeps from batch to batch.
-KEPT = 100_000
+KEPT = 400_000
 
 
 class Pieces:
