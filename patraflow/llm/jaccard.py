@@ -7,8 +7,8 @@ classes. Exact steps, each of which keeps every link:
    (1 - similarity) * size shingles found in no other class can't link, and goes.
 2. A size band fixes the largest symmetric difference d of two linked sets and a number of blocks above d. Each shingle flips one bit of
    the parity sketch of its block. The sketches' Hamming distance is at most the symmetric difference, so at most d blocks differ and
-   linked sets agree in a block in which both have shingles. Where a sketch has no more than d such blocks, its smallest shingles join
-   instead (a prefix that linked sets must share).
+   linked sets agree in a block whose sketch isn't zero if one of them has more than d such blocks. Where a sketch has no more, its
+   smallest shingles (a prefix that linked sets must share) join as well, for partners that have no more either.
 3. Every class meets one class only, the pivot: of the smallest classes of its keys the one that most classes meet. Verified pairs give
    components. Keys that still hold several components pair classes of different components, but only where the symmetric difference can
    be small enough: with a common pivot P, |A d B| >= u(A) + u(B) + ||P - A| - |P - B||, u being the shingles that no other such class has.
@@ -94,12 +94,12 @@ def block_keys(h: np.ndarray, band: int, high: int) -> np.ndarray:
     order = np.argsort(block, kind="stable")
     block, flips = block[order], flips[order]
     at = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
-    if len(at) > d:
-        sketch = np.bitwise_xor.reduceat(flips, at)
-        some = sketch != 0
-        if some.sum() > d:
-            return X.mix(sketch[some] ^ X.mix(block[at][some].astype(U) + salt))
-    return X.mix(h[: len(h) // 5 + 1] ^ X.mix(np.array([(band * 0x9E3779B97F4A7C15 + 0xABCDEF) % 2**64], U)))
+    sketch = np.bitwise_xor.reduceat(flips, at)
+    some = sketch != 0
+    keys = X.mix(sketch[some] ^ X.mix(block[at][some].astype(U) + salt))
+    if len(keys) > d:
+        return keys
+    return np.concatenate([keys, X.mix(h[: len(h) // 5 + 1] ^ X.mix(np.array([(band * 0x9E3779B97F4A7C15 + 0xABCDEF) % 2**64], U)))])
 
 
 def _sketched(text, k):

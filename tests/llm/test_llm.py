@@ -128,6 +128,19 @@ def test_linked_sets_share_a_key():
             assert keys[0] & keys[1] or set(a.tolist()) == set(b.tolist())
 
 
+@pytest.mark.parametrize("n, more", [(4, 1), (5, 1), (16, 4)])
+def test_sets_on_both_sides_of_the_block_limit_share_a_key(n, more):
+    r = np.random.default_rng(n)
+    for _ in range(20_000):
+        b = r.integers(0, 2**63, n + more).astype(np.uint64)
+        keys = []
+        for s in (np.sort(b[:n]), np.sort(b)):
+            edges = jaccard.bands(len(s))
+            k = int(np.searchsorted(edges, len(s), side="right")) - 1
+            keys.append({x for band in (k, k - 1) if band >= 0 for x in jaccard.block_keys(s, band, int(edges[band + 1]) - 1).tolist()})
+        assert keys[0] & keys[1]
+
+
 def windows(texts):
     seen, out = set(), []
     for t in texts:
