@@ -1,7 +1,9 @@
 """Benchmark decontamination by spaced-seed hashing.
 
 Words are runs of letters and digits with A-Z in lower case. A seed is a window of words of which a fixed mask ignores some; documents and
-benchmark items meet where a mask gives equal hashes, so a substituted word costs only the masks that look at it. Each hit names a
+benchmark items meet where a mask gives equal hashes, so a substituted word costs only the masks that look at it. The masks hit every
+stretch that counts as a leak: its last min(MIN_MATCH, 80 %) equal words end in suffixes of a positive sum only, which leaves fewer than
+2,000 patterns, and each holds one of the masks (tests/llm goes through all of them). Each hit names a
 diagonal (document position minus item position); on it the best stretch (+1 for an equal word, -2 for another) is verified.
 
 An item leaks into a document if a stretch has at least min(MIN_MATCH, 80 % of the item's words) equal words. Items of fewer than SHORT
@@ -20,12 +22,12 @@ from pyspark.sql import functions as F
 
 from . import _text as X
 
-MIN_MATCH, SHORT, LONG = 13, 8, 12
-#: Masks for items of LONG words or more, then for those from SHORT.
-MASKS = {LONG: ("110100110111", "111011001011", "101110010111", "111101100101"), SHORT: ("11011001", "10110101", "11100011", "10011111")}
+MIN_MATCH, SHORT = 13, 8
+#: A cover, found greedily, of the patterns above by masks of weight 6.
+MASKS = ("10110111", "10010001111", "10100010111", "1110111", "110001111", "1101111")
 _SPACE = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
 U = np.uint64
-_STEP = [U(pow(0x8CB92BA72F3D8DD7, j + 1, 1 << 64)) for j in range(LONG)]
+_STEP = [U(pow(0x8CB92BA72F3D8DD7, j + 1, 1 << 64)) for j in range(max(map(len, MASKS)))]
 
 
 def _hashes(batch, column):
@@ -35,13 +37,12 @@ def _hashes(batch, column):
         yield rows, X.word_hashes(data, starts, ends), first
 
 
-def seeds(h: np.ndarray, span: int) -> list[np.ndarray]:
-    """For each mask of that span, the hash of the seed at each word (as if all words were one row)."""
-    n = len(h) - span + 1
+def seeds(h: np.ndarray, mask: str) -> np.ndarray:
+    """The hash of the mask's seed at each word (as if all words were one row)."""
+    n = len(h) - len(mask) + 1
     if n < 1:
-        return [np.zeros(0, U) for _ in MASKS[span]]
-    parts = [h[j : j + n] * _STEP[j] for j in range(span)]
-    return [X.mix(sum((parts[j] for j in range(span) if mask[j] == "1"), U(i + 1) * np.ones(n, U))) for i, mask in enumerate(MASKS[span])]
+        return np.zeros(0, U)
+    return X.mix(sum((h[j : j + n] * _STEP[j] for j in range(len(mask)) if mask[j] == "1"), U(MASKS.index(mask) + 1) * np.ones(n, U)))
 
 
 class Block:
@@ -50,30 +51,30 @@ class Block:
     def __init__(self, items: list[tuple[int, np.ndarray]]):
         self.items = items
         self.tables = {}
-        for span in MASKS:
-            found = [(s, np.full(len(s), i), np.arange(len(s))) for i, (_, h) in enumerate(items) if (len(h) >= LONG) == (span == LONG) and len(h) >= SHORT for s in seeds(h, span)]
+        for mask in MASKS:
+            found = [(s, np.full(len(s), i), np.arange(len(s))) for i, (_, h) in enumerate(items) if len(h) >= SHORT for s in [seeds(h, mask)]]
             if found:
                 key, item, pos = (np.concatenate(x) for x in zip(*found, strict=True))
                 order = np.argsort(key, kind="stable")
                 key = key[order]
                 may = np.zeros(1 << 20, bool)
                 may[key >> U(44)] = True
-                self.tables[span] = key, item[order], pos[order], may
+                self.tables[mask] = key, item[order], pos[order], may
 
     def hits(self, h: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Distinct (row, item, diagonal); the diagonal counts from the row's first word."""
         out = [np.zeros((0, 3), np.int64)]
-        for span, (key, item, pos, may) in self.tables.items():
-            for s in seeds(h, span):
-                at = np.flatnonzero(may[s >> U(44)])
-                low, high = np.searchsorted(key, s[at], "left"), np.searchsorted(key, s[at], "right")
-                n = high - low
-                at, low, n = at[n > 0], low[n > 0], n[n > 0]
-                which = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                at = np.repeat(at, n)
-                row = np.searchsorted(first, at, "right") - 1
-                inside = at + span <= first[row + 1]
-                out.append(np.stack([row, item[which], at - first[row] - pos[which]], 1)[inside])
+        for mask, (key, item, pos, may) in self.tables.items():
+            s = seeds(h, mask)
+            at = np.flatnonzero(may[s >> U(44)])
+            low, high = np.searchsorted(key, s[at], "left"), np.searchsorted(key, s[at], "right")
+            n = high - low
+            at, low, n = at[n > 0], low[n > 0], n[n > 0]
+            which = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            at = np.repeat(at, n)
+            row = np.searchsorted(first, at, "right") - 1
+            inside = at + len(mask) <= first[row + 1]
+            out.append(np.stack([row, item[which], at - first[row] - pos[which]], 1)[inside])
         return np.unique(np.concatenate(out), axis=0)
 
     def leaks(self, h: np.ndarray, first: np.ndarray):

@@ -268,6 +268,43 @@ def test_decontamination(spark):
     assert decontam.leaks(frame(spark, []), bench).collect() == [] and decontam.clean(d, bench.where("false")).count() == len(texts)
 
 
+def test_masks_hit_every_pattern_of_a_leak():
+    """All patterns of equal (1) and other words that end in positive suffixes only and start at the equal word that makes a leak."""
+    patterns, stack = set(), [(k, "1", 1) for k in range(8, 20)]
+    while stack:
+        words, p, total = stack.pop()
+        if p[0] == "1" and p.count("1") == min(13, -(-4 * words // 5)):
+            patterns.add(p)
+        elif len(p) < words or words == 19:
+            stack.append((words, "1" + p, total + 1))
+            if total > 2:
+                stack.append((words, "0" + p, total - 2))
+    assert len(patterns) > 1000
+    for p in patterns:
+        assert any(all(p[i + j] == "1" for j, c in enumerate(m) if c == "1") for m in decontam.MASKS for i in range(len(p) - len(m) + 1)), p
+
+
+def test_leaks_equal_brute_force():
+    r = np.random.default_rng(2)
+    items = [(k, r.integers(0, 2**63, n).astype(np.uint64)) for k, n in enumerate([7, 8, 9, 12, 12, 15, 15, 20, 30, 59])]
+    block, cases = decontam.Block(items), []
+    for k, (_, words) in enumerate(items):
+        for every in (3, 4, 5, 6):
+            for phase in range(every):
+                cases.append((k, [i % every == phase for i in range(len(words))]))
+        cases += [(k, [i == edge for i in range(len(words))]) for edge in (0, len(words) - 1)]
+        cases += [(k, list(r.random(len(words)) < share)) for share in (0.05, 0.1, 0.2, 0.3) for _ in range(200)]
+    for k, other in cases:
+        words = np.where(other, r.integers(0, 2**63, len(other)).astype(np.uint64), items[k][1])
+        best, total, count, top = 0, 0, 0, 0
+        for o in other:
+            total, count = (total + (-2 if o else 1), count + (not o)) if total >= 0 else (-2 if o else 1, int(not o))
+            if total > top:
+                best, top = count, total
+        leaks = len(words) >= 8 and best >= min(13, -(-4 * len(words) // 5))
+        assert [x[1] for x in block.leaks(words, np.array([0, len(words)]))] == [k] * leaks
+
+
 def test_suffix_automaton_parses_like_brute_force():
     r = random.Random(1)
     sample = bytes(r.choice(b"ab c") for _ in range(200))
