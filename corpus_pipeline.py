@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patraflow.llm._store import folder
+from patraflow.llm._bitmap import bitmap, may_contain
+from patraflow.llm._store import folder, save
 from patraflow.llm.decontam import clean
 from patraflow.llm.jaccard import jaccard_components
 from patraflow.llm.langid import fit, held_out, predict
@@ -34,10 +35,23 @@ def predict_rows(docs: DataFrame, model, i: int) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents that are linked by a Jaccard similarity of 0.8 or more, the smallest id stays."""
+    """Of each group of rows that are linked by a Jaccard similarity of 0.8 or more, exact copies among them, one stays: the one with the
+    smallest id, a null id coming last. Rows that share id and text count as one row, of which the smallest by all columns stays. A text
+    without a word links with nothing: its rows all stay, repeated ones too."""
     prepare(spark)
-    found = jaccard_components(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_semi").select(*docs.columns)
+    keyed = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
+    found = jaccard_components(keyed, "_row").groupBy(F.col("doc_id").alias("_row")).agg(F.max("n_shingles").alias("n"), F.min("component_id").alias("c"), F.count("*").alias("times"))
+    found = found.join(keyed.select(F.col("_row").alias("r"), "doc_id").distinct(), F.col("_row") == F.col("r"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_row", "times")).alias("x")
+    best = found.where("n > 0").groupBy("c").agg(first).select("x._row", "x.times")
+    best = save(best.unionByName(found.where("n = 0").select("_row", F.lit(1).cast("long").alias("times"))), "kept")
+    out = keyed.join(best.where("times = 1"), "_row", "left_semi").select(*docs.columns)
+    twice = best.where("times > 1").select("_row")
+    if twice.limit(1).count():
+        # repeated rows are brought together before they meet the key, so that one row a task is left of each
+        rows = may_contain(keyed, "_row", bitmap(twice, "_row")).groupBy("_row").agg(F.min(F.struct(*docs.columns)).alias("x"))
+        out = out.unionByName(rows.join(twice, "_row", "left_semi").select("x.*"))
+    return out
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -33,3 +33,20 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
     sp = sentencepiece.SentencePieceProcessor(model_file=spm.MODEL)
     for i, t, k in left:
         assert got[i].lang == k and got[i].ids == sp.encode(pii._replaced(t, []))
+
+
+def test_near_copies_with_null_and_repeated_ids(spark):
+    import corpus_pipeline
+
+    text = lambda k: " ".join(f"{k}{i}" for i in range(30))
+    rows = [(None, text("a"), "x"), (None, text("b"), "x"), (None, text("b") + " more", "x"), (None, text("c"), "x"), (8, text("c"), "y")]
+    rows += [(3, text("d"), "y"), (3, text("d"), "x"), (3, text("d"), None), (5, text("d") + " more", "x"), (5, text("e"), "x"), (None, text("f"), "x"), (None, text("f"), "x")]
+    rows += [(None, None, "x"), (7, "", "x"), (7, "", "x")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = corpus_pipeline.drop_near_copies(spark, d, "")
+    assert got.columns == d.columns
+    got = [tuple(x) for x in got.collect()]
+    b = [x for x in got if x[1] and x[1].startswith("b0 ")]
+    assert len(b) == 1 and b[0] in rows
+    want = [(None, text("a"), "x"), (8, text("c"), "y"), (3, text("d"), None), (5, text("e"), "x"), (None, text("f"), "x"), (None, None, "x"), (7, "", "x"), (7, "", "x")]
+    assert sorted(map(repr, got)) == sorted(map(repr, [*want, *b]))
