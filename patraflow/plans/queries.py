@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from collections.abc import Callable
+from xml.sax.saxutils import escape
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -338,11 +340,38 @@ def _file(kind: str, text: str) -> bytes:
     return out.getvalue()
 
 
+def _whole_file(kind: str, text: str) -> bytes:
+    """The whole text as a file: in DOCX a paragraph of two runs and then a table row of two cells for each line, in XLSX a row of up to
+    three cells for each line. Only characters that XML can't hold are left out of these two."""
+    if kind == "pdf":
+        return b"\n%PDF-1.4 " + text.encode()
+    if kind == "txt":
+        return text.encode()
+    out = io.BytesIO()
+    esc = lambda t: escape(re.sub("[\x00-\x08\x0b\x0c\x0e-\x1f\ufffe\uffff]", "", t), {"\r": "&#13;"})
+    lines = text.split("\n")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        if kind == "docx":
+            w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+            run = lambda t, f: f'<w:r><w:rPr><w:rFonts w:ascii="{f}"/></w:rPr><w:t>{esc(t)}</w:t></w:r>'
+            paragraphs = "".join(f"<w:p>{run(t[: len(t) // 2], 'FMAbhaya')}{run(t[len(t) // 2 :], 'Arial')}</w:p>" for t in lines)
+            rows = "".join("<w:tr>" + "".join(f"<w:tc><w:p>{run(c, 'Arial')}</w:p></w:tc>" for c in t.split(" ", 1)) + "</w:tr>" for t in lines)
+            z.writestr("word/document.xml", f"<w:document {w}><w:body>{paragraphs}<w:tbl>{rows}</w:tbl></w:body></w:document>")
+        else:
+            s, r = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"', 'xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+            z.writestr("xl/workbook.xml", f'<workbook {s} {r}><sheets><sheet name="One" sheetId="1" r:id="rId1"/></sheets></workbook>')
+            z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Target="worksheets/sheet1.xml"/></Relationships>')
+            row = lambda i, t: f'<row r="{i}">' + "".join(f'<c r="{c}{i}" t="inlineStr"><is><t>{esc(v)}</t></is></c>' for c, v in zip("ABC", t.split(" ", 2), strict=False)) + f'<c r="D{i}"/></row>'
+            rows = "".join(row(i, t) for i, t in enumerate(lines, 1))
+            z.writestr("xl/worksheets/sheet1.xml", f'<worksheet {s}><sheetData>{rows}<row r="{len(lines) + 1}"><c r="A{len(lines) + 1}"><v>12</v></c></row></sheetData></worksheet>')
+    return out.getvalue()
+
+
 def _files(spark, sf_dir):
-    """Generated files, one a document, in the shape of a binaryFile scan."""
-    make = F.udf(lambda k, t: bytearray(_file(k, t or "")), "binary")
+    """Generated files, one a document with its whole text, in the shape of a binaryFile scan."""
+    make = F.udf(lambda k, t: bytearray(_whole_file(k, t or "")), "binary")
     kind = F.element_at(F.array(*map(F.lit, ("pdf", "docx", "xlsx", "txt"))), (F.col("doc_id") % 4 + 1).cast("int"))
-    d = docs(spark, sf_dir, "substr(text, 1, 200)").withColumn("kind", kind)
+    d = docs(spark, sf_dir).withColumn("kind", kind)
     return d.select(F.concat(F.lit("/in/"), F.col("doc_id").cast("string"), F.lit("."), F.when(F.col("doc_id") % 8 == 1, "pdf").otherwise(F.col("kind"))).alias("path"), make("kind", "text").alias("content"))
 
 

@@ -209,6 +209,24 @@ def test_files(spark, tmp_path):
     assert docs["c.pdf"].error_type == "ExtractionFailedError"
 
 
+def test_generated_files_hold_whole_texts(spark):
+    from patraflow.plans.queries import _files
+
+    texts = {str(r.doc_id): r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    assert max(map(len, texts.values())) > 200
+    for r in _files(spark, "/root/testdata/sf0.001").collect():
+        key, content = r.path.rsplit("/")[-1].split(".")[0], bytes(r.content)
+        lines = texts[key].split("\n")
+        kind = ("pdf", "docx", "xlsx", "txt")[int(key) % 4]
+        if kind == "docx":
+            table = "".join(t.replace(" ", "\t", 1) + "\n" for t in lines)
+            assert "".join(x[0] for x in ingest.docx_spans(content)) == "".join(t + "\n" for t in lines) + table + "\n"
+        elif kind == "xlsx":
+            assert "".join(x[0] for x in ingest.xlsx_spans(content)) == "=== One ===\n" + "".join(t.replace(" ", "\t", 2) + "\n" for t in [*lines, "12"])
+        else:
+            assert content == (b"\n%PDF-1.4 " if kind == "pdf" else b"") + texts[key].encode()
+
+
 def test_stream(spark, tmp_path):
     from patraflow.streaming.stream import chunk_stream
 
