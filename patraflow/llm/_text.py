@@ -1,12 +1,14 @@
 """Whole Arrow batches of texts as NumPy arrays: words, word hashes and n-gram hashes without a Python loop over words.
 
-Work is cut into groups of rows of about LIMIT bytes, so memory follows the longest single text and not the batch.
+Work is cut into groups of rows of about LIMIT bytes, so memory follows the longest single text and not the batch. Hashes go through a
+mixer at each step (eight bytes of a word; two halves of a sequence), so no algebra of a polynomial makes structured texts collide.
 """
 
 from __future__ import annotations
 
 import contextlib
 import ctypes
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,10 +16,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 LIMIT = (1 << 20) - 8
-# Arrays of a megabyte or more go back to the system when they are freed: idle workers stay small, and an executor has several.
-pa.set_memory_pool(pa.system_memory_pool())
-with contextlib.suppress(OSError, AttributeError):
-    ctypes.CDLL(None).mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
 U = np.uint64
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -34,24 +32,27 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * U(0x9E3779B97F4A7C15))
-_P, _Q = 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
-_tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_MASK = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+#: Longer words are hashed one by one.
+_LONG = 512
+_settled = False
 
 
-def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of an odd base modulo 2**64, and those of its inverse."""
-    have = _tables.get(base)
-    if have is None or len(have[0]) < n:
-        size = max(1 << 16, 1 << (n - 1).bit_length()) if n <= 2 * LIMIT else n
-        have = tuple(np.concatenate([np.ones(1, U), np.cumprod(np.full(size - 1, b, U))]) for b in (base, pow(base, -1, 1 << 64)))
-        if size <= 2 * LIMIT:
-            _tables[base] = have
-    return have
+def settle() -> None:
+    """In a worker: arrays of a megabyte or more go back to the system when they are freed, as an executor has several workers."""
+    global _settled
+    from pyspark import TaskContext
+
+    if not _settled and TaskContext.get() is not None:
+        pa.set_memory_pool(pa.system_memory_pool())
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+    _settled = True
 
 
 def groups(batch: pa.RecordBatch, column: str, limit: int = LIMIT) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
     """Rows, their UTF-8 bytes, and where each row's bytes begin (one more for the end). A null text has no bytes."""
+    settle()
     texts = batch.column(batch.schema.get_field_index(column))
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     if not len(texts):
@@ -85,18 +86,38 @@ def words(data: np.ndarray, at: np.ndarray, space: np.ndarray = _SPACE) -> tuple
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    up, down = _powers(_P, len(data) + 1)
-    sums = np.zeros(len(data) + 1, U)
-    np.cumsum(_BYTE[data] * up[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U) * U(0x9E3779B97F4A7C15))
+    """Hashes of the bytes [start, end) of each word."""
+    size = ends - starts
+    eight = np.ndarray(len(data) + 1, "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+    h = mix(mix(size.astype(U) + U(0x9E3779B97F4A7C15)) ^ (eight[starts] & _MASK[np.minimum(size, 8)]))
+    more = np.flatnonzero((size > 8) & (size <= _LONG))
+    k = 8
+    while len(more):
+        h[more] = mix(h[more] * U(0xD6E8FEB86659FD93) ^ (eight[starts[more] + k] & _MASK[np.minimum(size[more] - k, 8)]))
+        k += 8
+        more = more[size[more] > k]
+    for i in np.flatnonzero(size > _LONG).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]], digest_size=8).digest(), "little")
+    return h
+
+
+def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The hash of a sequence from those of its two halves."""
+    return mix(a * U(0xA0761D6478BD642F) + b)
 
 
 def spans(h: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hashes of the word sequences [begin, end)."""
-    up, down = _powers(_Q, len(h) + 1)
-    sums = np.zeros(len(h) + 1, U)
-    np.cumsum(h * up[: len(h)], out=sums[1:])
-    return mix((sums[end] - sums[begin]) * down[begin] + (end - begin).astype(U) * U(0xE7037ED1A0B428DB))
+    """Hashes of the word sequences [begin, end), none of them empty: of the first and the last 2**level words, which cover it, and the length."""
+    size = end - begin
+    level = np.frexp(size.astype(float))[1] - 1
+    out = np.zeros(len(begin), U)
+    table, width = h, 1
+    for k in range(int(level.max(initial=0)) + 1):
+        at = slice(None) if len(level) and level.min() == level.max() == k else np.flatnonzero(level == k)
+        out[at] = joined(joined(table[begin[at]], table[end[at] - width]), size[at].astype(U))
+        table = joined(table[:-width], table[width:])
+        width *= 2
+    return out
 
 
 def shingles(h: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
