@@ -225,6 +225,58 @@ def test_sentencepiece_equals_the_library(spark):
     assert back == dict(enumerate(texts))
 
 
+def test_sentencepiece_dictionary_and_rare_units(spark):
+    """The relational lattice, the Arrow lattice and the library give the same ids, whatever the dictionary holds."""
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=spm.MODEL)
+    texts = [t for t in corpus(21, 40) if t] + ["stone water, houses! " * 9, "naïve\n\nnaïve naïve 😀😀", "  a  b  a  b", "the internationalization the internationalization"]
+    d = frame(spark, texts)
+    words = spm.dictionary(d)
+    assert len(words.count) > 20
+    few = spm.dictionary(d, most=10)
+    assert 0 < len(few.count) <= 10
+    for w in (words, few, spm.EMPTY):
+        assert all(r.ids == sp.encode(texts[r.doc_id]) for r in spm.encode(d, words=w).collect())
+    for i in range(len(words.count)):
+        data, at = words.data[words.at[i] : words.at[i + 1]], np.array([0, words.at[i + 1] - words.at[i]])
+        assert words.ids[words.begin[i] : words.begin[i] + words.count[i]].tolist() == spm.encode_units(data, at, spm.load())[0].tolist()
+
+
+def thue_morse(size, a="a", b="b"):
+    out = a
+    while len(out) < size:
+        out += out.translate(str.maketrans(a + b, b + a))
+    return out[:size]
+
+
+def test_structured_words_do_not_collide(spark):
+    """Thue-Morse words make any polynomial hash modulo a power of two collide."""
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=spm.MODEL)
+    x, y = thue_morse(2048), thue_morse(2048, "b", "a")
+    noise = [f"w{i}" for i in range(19)]
+    texts = [" ".join([*noise, x]), " ".join([*noise, y]), f"{x} {y}"]
+    assert {r[0]: tuple(r)[1:] for r in substring.remove_repeats(frame(spark, texts)).collect()} == windows(texts)
+    assert {r[0]: (r[1], r[2]) for r in jaccard.jaccard_components(frame(spark, texts)).collect()} == components(texts)
+    assert all(r.ids == sp.encode(texts[r.doc_id]) for r in spm.encode(frame(spark, texts)).collect())
+    for size in (256, 512, 1024, 4096):
+        data = np.frombuffer((thue_morse(size) + thue_morse(size, "b", "a")).encode(), np.uint8)
+        h = X.word_hashes(data, np.array([0, size]), np.array([size, 2 * size]))
+        assert h[0] != h[1]
+
+
+def test_spans_hash_sequences():
+    r = np.random.default_rng(5)
+    h = r.integers(0, 4, 300).astype(np.uint64)
+    seen = {}
+    for n in range(1, 40):
+        begin = np.arange(300 - n)
+        for i, g in zip(begin.tolist(), X.spans(h, begin, begin + n).tolist(), strict=True):
+            assert seen.setdefault(g, tuple(h[i : i + n].tolist())) == tuple(h[i : i + n].tolist())
+
+
 def test_sentencepiece_odd(spark):
     got = {r.doc_id: r for r in spm.encode(frame(spark, [None, "", "a▁b"]), check=True).collect()}
     assert got[0].ids == [] and got[1].ids == [] and got[0].round_trip and not got[2].round_trip
