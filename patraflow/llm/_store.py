@@ -10,11 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where that setting is absent (tests)."""
+    """The folder in spark.checkpoint.dir, which all executors must share. Without that setting a cluster has none, and an
+    error says so."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not path:
-        path = tempfile.mkdtemp(prefix="patraflow-")
+    if not path and spark.sparkContext.master.startswith("local["):
+        path = tempfile.mkdtemp(prefix="patraflow-")  # tests: driver and executor are one process
         spark.conf.set("spark.checkpoint.dir", path)
+    if not path:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return path.rstrip("/")
 
 
@@ -26,7 +29,18 @@ def save(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it again."""
     path = folder(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._patraflow_path = path
+    return out
+
+
+def drop(*saved: DataFrame) -> None:
+    """Deletes tables of save() that no later step reads, and lets Spark drop shuffle files."""
+    for df in saved:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._patraflow_path)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    if saved:
+        release(saved[0].sparkSession)
 
 
 def release(spark: SparkSession) -> None:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as X
-from ._store import release, save
+from ._store import drop, save
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -397,8 +397,9 @@ def dictionary(docs: DataFrame, text_col: str = "text", model: str = MODEL, most
         return EMPTY
     pieces = load(model)
     table = docs.sparkSession.createDataFrame([(p, i, 0.0) for p, i in pieces.normal], "piece string, id int, score double")
-    found = fold_merges(lattice(counts.where(step >= least).repartition(32, "unit"), F.broadcast(table), "unit", pieces.longest), model).toArrow().sort_by("word")  # the piece table is a fixed file
-    release(docs.sparkSession)
+    edges = lattice(counts.where(step >= least).repartition(32, "unit"), F.broadcast(table), "unit", pieces.longest)  # the piece table is a fixed file
+    found = fold_merges(edges, model).toArrow().sort_by("word")
+    drop(counts)
     texts = [x.encode() for x in found["word"].to_pylist()]
     ids = pc.list_flatten(found["ids"]).to_numpy().astype(np.int32)
     return Dictionary(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]), ids, pc.list_value_length(found["ids"]).to_numpy().astype(np.int64))

@@ -3,13 +3,17 @@
 A window is WINDOW consecutive words. Of the GRAM-word grams in a window the one with the smallest hash, the first of equals, is its anchor,
 so equal windows have equal anchors. A segment is a run of windows with one anchor occurrence: at most WINDOW - GRAM + 1 windows.
 
-1. Segments are counted by (anchor, content hash), one row a document and content. Anchors that occur once are done: nothing repeats there.
-   Of equal segments all windows but those of the smallest document are repeated.
+1. Segments, one row a document and content, are dealt by anchor once and ordered by (anchor, content, document). Anchors that occur
+   once are done: nothing repeats there. Of equal segments all windows but those of the smallest document are repeated. Equal means equal
+   anchor and equal content, two 64-bit hashes of the words. What is left is written as a table, so that this exchange is made once.
 2. Anchors with several contents are sharded by anchor. A shard's distinct segments, ordered as in the corpus, form an FM-index; backward
    search streams every window through it, and intervals of length WINDOW with an earlier position mark a window as repeated.
 3. Anchors with more than CONTENTS contents (a passage in very many surroundings) do not go to one shard: their windows are counted by
    window hash, spread over all tasks, which gives the same answer.
 4. Each document takes the marks of its segments and drops the covered words.
+
+Anchors that occur in a share of at least HOT of the documents are dealt by content and part of the documents as well, and the parts' first
+documents are compared afterwards, so that no task gets all rows of one. They count as anchors of more than CONTENTS contents.
 """
 
 from __future__ import annotations
@@ -18,15 +22,18 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _text as X
 from ._bitmap import bitmap, may_contain
-from ._store import release, save
+from ._store import drop, release, save
 from .fmindex import FMIndex
 
 WINDOW, GRAM, CONTENTS = 20, 8, 256
+#: A hot anchor's share of the documents; the part of the documents that shows hot anchors (it steers only how rows are dealt) and their
+#: least number there; and the parts among which the rows of one content are dealt.
+HOT, SHOWN, LEAST, PARTS = 0.01, 32, 8, 64
 #: Words of one FM-index, so a shard's memory.
 SHARD_WORDS = 300_000
 U = np.uint64
@@ -209,6 +216,29 @@ def _kept(texts: bool):
     return run
 
 
+def _segments(rows: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """Segments (a, c, doc_id, late, contents) that repeat or whose anchor has several contents: late where a smaller document has the same
+    segment, one row that isn't late for each content. Also the stored tables that they come from."""
+    found = rows.mapInArrow(_anchored, "a long, c long, doc_id long")
+    part = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(SHOWN)) == 0)
+    least = max(LEAST, int(HOT * part.count()))
+    hot = save(part.mapInArrow(_anchored, "a long, c long, doc_id long").groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") >= least).select(F.col("a").alias("hot")), "hot")
+    # the shown part's rows divided by `least` bound the hot anchors
+    found = found.join(F.broadcast(hot), F.col("a") == F.col("hot"), "left")
+    key = F.when(F.col("hot").isNotNull(), F.xxhash64("a", "c", F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)))).otherwise(F.col("a"))
+    dealt = found.withColumn("key", key).repartition("key")
+    content = Window.partitionBy("key", "a", "c").orderBy("doc_id")
+    ranked = dealt.withColumns({"d": F.first("doc_id").over(content), "k": F.row_number().over(content)})
+    many = F.when(F.col("hot").isNotNull(), F.lit(CONTENTS + 1)).otherwise(F.sum(F.when(F.col("k") == 1, 1).otherwise(0)).over(Window.partitionBy("key", "a")))
+    kept = ranked.withColumn("contents", many).withColumn("late", F.col("doc_id") > F.col("d")).where("late or (contents > 1 and k = 1)")
+    kept = save(kept.select("a", "c", "doc_id", "late", F.col("contents").cast("long").alias("contents"), F.col("hot").isNotNull().alias("hot")), "parts")
+    # the first documents of the parts of a hot anchor's content, at most PARTS rows a content
+    firsts = kept.where("hot and not late").groupBy("a", "c").agg(F.array_sort(F.collect_list("doc_id")).alias("ids"))
+    firsts = firsts.select("a", "c", F.posexplode("ids").alias("k", "doc_id"), F.element_at("ids", 1).alias("d"))
+    firsts = firsts.where("k = 0 or doc_id > d").select("a", "c", "doc_id", (F.col("doc_id") > F.col("d")).alias("late"), F.lit(CONTENTS + 1).cast("long").alias("contents"))
+    return kept.where("late or not hot").drop("hot").unionByName(firsts), [kept, hot]
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts: bool = True) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_removed, kept_sha256 and, with texts, kept (the words left, joined by one space).
 
@@ -219,18 +249,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     low = -(1 << 63)
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(low)).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    found = rows.mapInArrow(_anchored, "a long, c long, doc_id long")
-    contents = found.groupBy("a", "c").agg(F.min("doc_id").alias("d"), F.count("*").alias("n"))
-    anchors = contents.groupBy("a").agg(F.count("*").alias("contents"), F.sum("n").alias("total"), F.min("c").alias("c"), F.min("d").alias("d"))
-    single = anchors.where("contents = 1 and total > 1").select("a", "c", "d", F.lit(1).cast("long").alias("contents"))
-    mixed = contents.join(anchors.where("contents > 1").select("a", "contents"), "a").select("a", "c", "d", "contents")
-    known = save(single.unionByName(mixed), "segments")
+    known, stored = _segments(rows)
     release(spark)
-    want = known.where("contents > 1").groupBy(F.col("d").alias("doc_id")).agg(F.collect_list(F.struct("c", (F.col("contents") > CONTENTS).alias("large"))).alias("want"))
+    want = known.where("not late and contents > 1").groupBy("doc_id").agg(F.collect_list(F.struct("c", (F.col("contents") > CONTENTS).alias("large"))).alias("want"))
     want = save(want, "wanted")
-    pieces = may_contain(rows, "doc_id", bitmap(want, "doc_id")).join(want, "doc_id").select("doc_id", "text", "want").mapInArrow(_pieces, _PIECE).dropDuplicates(["a", "c", "doc_id"])
-    pieces = save(pieces, "pieces")
-    release(spark)
+    pieces = may_contain(rows, "doc_id", bitmap(want, "doc_id")).join(want, "doc_id").select("doc_id", "text", "want").mapInArrow(_pieces, _PIECE)
+    pieces = save(pieces.dropDuplicates(["a", "c", "doc_id"]), "pieces")
+    drop(want)
     small = pieces.where("not large").select("a", "c", "doc_id", "start", "words")
     marks = small.repartition(F.col("a")).sortWithinPartitions("a").mapInArrow(_shard, "doc_id long, c long, mask long")
     window = pieces.where("large").select("c", "doc_id", "start", F.posexplode("windows").alias("j", "w"))
@@ -238,10 +263,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     earliest = window.groupBy("w").agg(F.min(F.struct("doc_id", "at")).alias("e"), F.count("*").alias("n")).where("n > 1").select("w", "e")
     late = window.join(earliest, "w").where(F.struct("doc_id", "at") > F.col("e"))
     marks = marks.unionByName(late.groupBy("doc_id", "c").agg(F.bit_or(F.expr("shiftleft(1L, j)")).alias("mask")))
-    other = found.join(known, ["a", "c"]).where("doc_id <> d").select("doc_id", "c", F.lit(-1).cast("long").alias("mask"))
+    other = known.where("late").select("doc_id", "c", F.lit(-1).cast("long").alias("mask"))
     per_doc = other.unionByName(marks).groupBy("doc_id").agg(F.collect_list(F.struct("c", "mask")).alias("marks"))
     per_doc = save(per_doc, "marks")
-    release(spark)
+    drop(pieces, *stored)
     # only texts that may have marks are moved to them
     bits = bitmap(per_doc, "doc_id")
     marked = may_contain(rows, "doc_id", bits).join(per_doc, "doc_id", "left").select("doc_id", "text", "marks")

@@ -156,9 +156,12 @@ def windows(texts):
     return dict(enumerate(out))
 
 
-@pytest.mark.parametrize("contents", [256, 1])
-def test_substring_dedup(spark, monkeypatch, contents):
+@pytest.mark.parametrize("contents, hot", [(256, 0.01), (1, 0.01), (256, 0.0)])
+def test_substring_dedup(spark, monkeypatch, contents, hot):
     monkeypatch.setattr(substring, "CONTENTS", contents)
+    if not hot:  # each anchor that two documents have is hot
+        for name, value in (("SHOWN", 1), ("LEAST", 2), ("HOT", 0.0)):
+            monkeypatch.setattr(substring, name, value)
     texts = corpus(7) + ODD
     got = {r[0]: tuple(r)[1:] for r in substring.remove_repeats(frame(spark, texts)).collect()}
     assert got == windows(texts)
