@@ -12,7 +12,8 @@ classes. Exact steps, each of which keeps every link:
 3. Every class meets one class only, the pivot: of the smallest classes of its keys the one that most classes meet. Verified pairs give
    components. Keys that still hold several components pair classes of different components, but only where the symmetric difference can
    be small enough: with a common pivot P, |A d B| >= u(A) + u(B) + ||P - A| - |P - B||, u being the shingles that no other such class has.
-   The bound is met by an equi-join on its buckets, so pairs that it rules out are never made.
+   The bound is met by an equi-join on its buckets, so pairs that it rules out are never made; the classes of a large pivot are dealt to
+   as many tasks as they need.
 4. Pairs are pruned by the Hamming distance of short dense sketches, then verified on the whole sets.
 """
 
@@ -25,13 +26,15 @@ from pyspark.sql import functions as F
 
 from . import _text as X
 from ._bitmap import bitmap, may_contain
-from ._store import release, save
+from ._store import drop, release, save
 from .components import components
 
 #: Sixteenths of the hash space that step 1 counts; above 0.2.
 SHARE = 5
 #: 64-bit words of the dense sketch.
 DENSE = 8
+#: Classes of one pivot that go to one task.
+DEALT = 256
 U = np.uint64
 
 
@@ -111,19 +114,32 @@ def _sketched(text, k):
                 out = []
                 for i in np.flatnonzero((d1 == want[0][rows]) & (d2 == want[1][rows])):
                     own = h[edge[i] : edge[i + 1]]
-                    edges = bands(len(own))
-                    b = int(np.searchsorted(edges, len(own), side="right")) - 1
-                    keys = [block_keys(own, x, int(edges[x + 1]) - 1) for x in (b, b - 1) if x >= 0]
                     bits = np.bincount((own >> U(3)).astype(np.int64) % (64 * DENSE), minlength=64 * DENSE) & 1
-                    out.append((batch.column(0)[rows.start + int(i)].as_py(), len(own), np.packbits(bits.astype(np.uint8)).view(np.int64), own.view(np.int64), np.concatenate(keys).view(np.int64)))
+                    out.append((batch.column(0)[rows.start + int(i)].as_py(), len(own), np.packbits(bits.astype(np.uint8)).view(np.int64), own.view(np.int64)))
                 if out:
-                    ids, n, dense, sets, keys = zip(*out, strict=True)
-                    lists = [pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(v) for v in x])]).astype(np.int32), pa.array(np.concatenate(x))) for x in (dense, sets, keys)]
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), *lists], ["rep", "n", "dense", "hashes", "keys"])
+                    ids, n, dense, sets = zip(*out, strict=True)
+                    lists = [pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(v) for v in x])]).astype(np.int32), pa.array(np.concatenate(x))) for x in (dense, sets)]
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), *lists], ["rep", "n", "dense", "hashes"])
 
     return run
 
 
+def set_keys(h: np.ndarray) -> np.ndarray:
+    """Join keys of one set in its own band and the one below."""
+    edges = bands(len(h))
+    b = int(np.searchsorted(edges, len(h), side="right")) - 1
+    return np.concatenate([block_keys(h, x, int(edges[x + 1]) - 1) for x in (b, b - 1) if x >= 0])
+
+
+def _keyed(batches):
+    for batch in batches:
+        edge, flat = batch.column(1).offsets.to_numpy(), batch.column(1).values.to_numpy(zero_copy_only=False).view(U)
+        for i in range(0, batch.num_rows, 256):
+            keys = [set_keys(flat[edge[j] : edge[j + 1]]) for j in range(i, min(i + 256, batch.num_rows))]
+            ids = batch.column(0)[i : i + 256].take(pa.array(np.repeat(np.arange(len(keys)), [len(k) for k in keys])))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(np.concatenate(keys).view(np.int64))], ["rep", "key"])
+
+
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) that link."""
     side = {s: sets.select(F.col("rep").alias(s), F.col("n").alias(f"n{s}"), F.col("dense").alias(f"d{s}"), F.col("hashes").alias(f"h{s}")) for s in "ab"}
@@ -134,29 +150,29 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", "na", "nb", shared.alias("i")).where("100 * i >= 80 * (na + nb - i)").select("a", "b")
 
 
-def _pivoted(live: DataFrame, sets: DataFrame) -> DataFrame:
+def _pivoted(live: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Each class with its pivot: rep, n, p, lost (shingles of the pivot that it lacks), linked. A pivot's set goes to as many tasks as its
-    classes need."""
+    classes need. Also the stored table that this reads."""
     votes = live.where("low < rep").groupBy("low", "rep").agg(F.count("*").alias("v"))
     fame = votes.groupBy("low").agg(F.count("*").alias("fame"))
     best = votes.join(fame, "low").groupBy("rep").agg(F.max(F.struct("fame", (-F.col("low")).alias("m"))).alias("x")).select("rep", (-F.col("x.m")).alias("p"))
     best = save(best, "pivots")
-    copies = best.groupBy("p").agg(F.ceil(F.count("*") / 256).cast("int").alias("copies"))
+    copies = best.groupBy("p").agg(F.ceil(F.count("*") / DEALT).cast("int").alias("copies"))
     pivots = sets.join(copies, F.col("rep") == F.col("p")).select("p", "copies", F.col("n").alias("np"), F.col("hashes").alias("hp"), F.explode(F.expr("sequence(0, copies - 1)")).alias("salt"))
     members = sets.select("rep", "n", "hashes").join(best, "rep").join(copies, "p").withColumn("salt", F.pmod(F.xxhash64("rep"), F.col("copies")).cast("int")).drop("copies")
     i = F.size(F.array_intersect("hashes", "hp"))
     met = members.join(pivots.drop("copies"), ["p", "salt"]).select("rep", "n", "p", "np", i.alias("i"))
     met = met.select("rep", "n", "p", (F.col("np") - F.col("i")).alias("lost"), F.expr("100 * i >= 80 * (n + np - i)").alias("linked"))
     alone = sets.select("rep", "n").join(best.select("rep"), "rep", "left_anti").select("rep", "n", F.col("rep").alias("p"), F.lit(0).cast("long").alias("lost"), F.lit(False).alias("linked"))
-    return met.unionByName(alone)
+    return met.unionByName(alone), best
 
 
-def _cross(reps: DataFrame, shared: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) of classes of different components that the bounds leave. reps: rep, label, n, p, lost, of the classes in keys with
-    several components; shared: key, rep of these keys."""
+def _cross(reps: DataFrame, shared: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of classes of different components that the bounds leave, and the stored table that they come from. reps: rep, label, n,
+    p, lost, of the classes in keys with several components; shared: key, rep of these keys."""
     hashes = sets.join(reps.select("rep"), "rep").select("rep", F.explode("hashes").alias("h"))
     own = hashes.groupBy("h").agg(F.min("rep").alias("rep"), F.max("rep").alias("other")).where("rep = other").groupBy("rep").agg(F.count("*").alias("u"))
-    size = reps.groupBy("p", "label").agg(F.count("*").alias("k")).groupBy("p").agg(F.max(F.struct("k", "label")).alias("x")).select("p", F.col("x.label").alias("top"))
+    size = reps.groupBy("p", "label").agg(F.count("*").alias("k")).groupBy("p").agg(F.max(F.struct("k", "label")).alias("x"), F.ceil(F.sum("k") / DEALT).cast("int").alias("copies")).select("p", F.col("x.label").alias("top"), "copies")
     rows = reps.join(own, "rep", "left").na.fill(0, ["u"]).join(size, "p")
     # nine times the bounds, in whole numbers: a pair needs low(a) <= high(b) and low(b) <= high(a)
     rows = rows.withColumns({"low": F.expr("9 * (u + lost) - n"), "high": F.expr("9 * (lost - u) + n")})
@@ -165,18 +181,21 @@ def _cross(reps: DataFrame, shared: DataFrame, sets: DataFrame) -> DataFrame:
     # sizes of linked sets differ by a quarter at most, so buckets in units of n / 4 are compared after widening by that ratio
     widened = F.when(F.col("from") >= 0, F.floor(F.col("from") * 0.79)).otherwise(F.floor(F.col("from") * 1.26) - 2).cast("int")
     query = rows.where("label <> top").withColumn("bucket", F.explode(F.sequence(F.least(F.greatest(widened, F.lit(-40)), F.lit(40)), F.lit(40))))
-    cols = ["rep", "label", "n", "p", "u", "low", "high", "top"]
-    side = lambda x, t: x.select(*[F.col(c).alias(f"{t}_{c}") for c in cols], *[F.col(c).alias(f"{t}_bucket") for c in ["bucket"] if c in x.columns])
-    q, i = side(query, "q"), side(rows.withColumn("bucket", F.col("to")), "i")
+    query = query.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+    dealt = rows.withColumn("bucket", F.col("to")).withColumn("salt", F.pmod(F.xxhash64("rep"), F.col("copies")).cast("int"))
+    cols = ["rep", "label", "n", "p", "u", "low", "high", "top", "bucket", "salt"]
+    side = lambda x, t: x.select(*[F.col(c).alias(f"{t}_{c}") for c in cols])
+    q, i = side(query, "q"), side(dealt, "i")
     fits = F.expr("q_label <> i_label and q_low <= i_high and i_low <= q_high and (i_label = i_top or struct(q_low, q_rep) > struct(i_low, i_rep))")
-    same = q.join(i, (F.col("q_p") == F.col("i_p")) & (F.col("q_bucket") == F.col("i_bucket")) & fits)
+    same = q.join(i, (F.col("q_p") == F.col("i_p")) & (F.col("q_bucket") == F.col("i_bucket")) & (F.col("q_salt") == F.col("i_salt")) & fits)
     # different pivots: by key, from the classes whose pivot is not the key's most frequent one
     keyed = shared.join(rows.select("rep", "label", "n", "p", "u"), "rep")
     most = keyed.groupBy("key", "p").agg(F.count("*").alias("k")).groupBy("key").agg(F.max(F.struct("k", "p")).alias("x"), F.count("*").alias("ps")).where("ps > 1").select("key", F.col("x.p").alias("top"))
     keyed = keyed.join(most, "key")
     q2, i2 = (x.select("key", *[F.col(c).alias(f"{t}_{c}") for c in ["rep", "label", "n", "p", "u", "top"]]) for x, t in ((keyed.where("p <> top"), "q"), (keyed, "i")))
     differ = q2.join(i2, "key").where("q_p <> i_p and q_label <> i_label and 9 * (q_u + i_u) <= q_n + i_n and (i_p = i_top or q_rep < i_rep)")
-    return same.select("q_rep", "i_rep").unionByName(differ.select("q_rep", "i_rep")).select(F.least("q_rep", "i_rep").alias("a"), F.greatest("q_rep", "i_rep").alias("b")).distinct()
+    pairs = same.select("q_rep", "i_rep").unionByName(differ.select("q_rep", "i_rep")).select(F.least("q_rep", "i_rep").alias("a"), F.greatest("q_rep", "i_rep").alias("b"))
+    return pairs.distinct(), rows
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5) -> DataFrame:
@@ -194,22 +213,31 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     left = save(classes.where("rep is not null").join(alone, "d1", "left").where("5 * coalesce(alone, 0) <= n").select("rep", "d1", "d2"), "left")
     release(spark)
     chosen = may_contain(docs, "doc_id", bitmap(left, "rep")).join(left.withColumnRenamed("rep", "doc_id"), "doc_id")
-    sets = save(chosen.select("doc_id", "text", "d1", "d2").mapInArrow(_sketched("text", k), "rep long, n long, dense array<long>, hashes array<long>, keys array<long>"), "sketches").dropDuplicates(["rep"])
-    keys = sets.select("rep", F.explode("keys").alias("key"))
+    sets = chosen.select("doc_id", "text", "d1", "d2").mapInArrow(_sketched("text", k), "rep long, n long, dense array<long>, hashes array<long>")
+    if base.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").limit(1).count():
+        sets = sets.dropDuplicates(["rep"])  # rows that repeat an id
+    sets = save(sets, "sketches")
+    drop(left)
+    keys = sets.select("rep", "hashes").mapInArrow(_keyed, "rep long, key long")
     ends = keys.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("key", "low")
     live = save(keys.join(ends, "key"), "keys")
     release(spark)
-    met = save(_pivoted(live, sets), "met")
+    met, pivots = _pivoted(live, sets)
+    met = save(met, "met")
+    drop(pivots)
     links = met.where("linked").select(F.col("p").alias("a"), F.col("rep").alias("b"))
     labels = components(links)
     named = live.select("key", "rep").join(labels, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("label", "rep").alias("label"))
     mixed = named.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("g")).where("l < g").select("key")
     shared = save(live.select("key", "rep").join(mixed, "key").distinct(), "mixed")
-    release(spark)
+    drop(live)
     reps = save(shared.select("rep").distinct().join(met.drop("linked"), "rep").join(labels, F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("label", "rep").alias("label"), "n", "p", "lost"), "reps")
-    more = save(_verified(_cross(reps, shared, sets), sets), "links")
+    pairs, open_ = _cross(reps, shared, sets)
+    more = save(_verified(pairs, sets), "links")
+    drop(shared, reps, open_, sets)
     if more.limit(1).count():
         labels = components(links.unionByName(more))
+    drop(met, more)
     named = classes.join(labels, F.col("rep") == F.col("node"), "left").select("d1", "d2", F.coalesce("label", "rep").alias("component_id"))
     named = named.unionByName(base.where("false").select("d1", "d2", F.lit(None).cast("long").alias("component_id")))
     out = base.where("n > 0").join(named, ["d1", "d2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
