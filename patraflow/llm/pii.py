@@ -1,25 +1,37 @@
 """Personal data: fixed base patterns, then bootstrapped contextual extraction.
 
-Base spans are the seeds. Candidates are other whitespace-free tokens that look like identifiers (a digit or an @, MIN_TOKEN characters or
-more). Lexical patterns are the words around an entity: the word before it, the two words before it, and the part of the token before an
-assignment sign, each with A-Z in lower case. The pattern-instance graph has one edge per pattern and instance shape (letters, digits and
-signs in runs) with the number of distinct occurrences. Spark scores it iteratively per kind: a pattern by its instances' mean score,
-smoothed by SMOOTH unseen negatives; a shape by the mean of its patterns, seeds staying at 1. After ROUNDS, patterns with a
-score of ACCEPT and SUPPORT distinct shapes' occurrences give their kind to the candidates that they surround.
+Entities are base spans (email, ip, card, phone) and candidates: the cores, without quotes and punctuation at both ends, of other
+whitespace-free tokens with a digit or an @ and MIN_TOKEN characters or more. Seeds are the base spans and, for the kind `secret`, candidates
+of 32 or more hexadecimal digits with a letter and a digit among them.
+
+1. Each occurrence of an entity induces lexical patterns, with A-Z in lower case, digits as 0 and long words by hash: what stands before it
+   (two words and the signs up to it, or one word and the signs), what stands after it (the signs and a word), both, and in an assignment the
+   name and its sign.
+2. The pattern-instance graph has an edge for each pattern and instance (hash of its text), counted over distinct texts, so that copies of a
+   document support nothing. Spark scores it in ROUNDS rounds for each kind: a pattern by the mean score of its distinct instances, with
+   SMOOTH unseen ones of score 0; an instance that is no seed by its best pattern among the accepted; a seed counts 1 for its own kind.
+3. A pattern is accepted with a score of ACCEPT or more and SUPPORT or more distinct texts. Candidates that an accepted pattern surrounds
+   become spans of its kind: identifiers that no base pattern matches.
+
+Accepted patterns are few; up to PATTERNS of them go to the workers, and beyond that the occurrences are joined with them.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from ._store import save
+from ._store import drop, save
 
-KINDS = ("email", "ip", "card", "phone")
+KINDS = ("email", "ip", "card", "phone", "secret")
+BASE_KINDS, SECRET = 4, 4
 #: Fixed patterns of the contract, with possessive forms where giving back can't help.
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -29,8 +41,13 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
-_ASSIGN = re.compile(r"[^=:]{1,40}[=:]+[\"']?")
+_HEX = re.compile(r"(?=[0-9A-Fa-f]*[0-9])(?=[0-9A-Fa-f]*[A-Fa-f])[0-9A-Fa-f]{32,}")
+#: Signs that are no part of a candidate, at its begin and at its end.
+_OPEN, _CLOSE = "\"'`([{<*_~|", "\"'`)]}>*_~|,;:.!?#%&$"
+_ASSIGN = re.compile(r"([^=:]+)([=:]+)")
 MIN_TOKEN, ROUNDS, ACCEPT, SUPPORT, SMOOTH = 6, 3, 0.8, 8, 1.0
+#: Patterns that go to the workers at most; words of a context up to this size, longer ones by hash.
+PATTERNS, WORD = 50_000, 40
 
 
 def luhn(digits: str) -> bool:
@@ -74,99 +91,172 @@ def joined(spans) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for k, s, e in spans)
 
 
-def _shape(token: str) -> str:
-    return re.sub(r"(.)\1+", r"\1", re.sub(r"[0-9]", "0", re.sub(r"[^\W\d_]", "a", token)))[:64]
-
-
 def _low(word: str) -> str:
-    return "".join(c.lower() if "A" <= c <= "Z" else c for c in word)[:64]
-
-
-def occurrences(text: str, spans) -> list[tuple[str, str, int | None, int, int]]:
-    """(pattern, shape, kind or None, start, end) of seeds and candidates, with each pattern that surrounds them."""
-    found = [(s, e, k) for k, s, e in spans]
-    if _DIGIT.search(text) or "@" in text:
-        taken = sorted((s, e) for s, e, _ in found)
-        for m in _TOKEN.finditer(text):
-            s, e = m.span()
-            if e - s >= MIN_TOKEN and (_DIGIT.search(text, s, e) or "@" in m[0]):
-                while taken and taken[0][1] <= s:
-                    taken.pop(0)
-                if not (taken and taken[0][0] < e):
-                    found.append((s, e, None))
-    out = []
-    for s, e, kind in found:
-        before = [_low(w) for w in _TOKEN.findall(text, max(0, s - 200), s)[-2:]]
-        begin = s
-        patterns = []
+    low = _DIGIT.sub("0", "".join(c.lower() if "A" <= c <= "Z" else c for c in word))
+    return low if len(low) <= WORD else hashlib.md5(low.encode("utf-8", "surrogatepass")).hexdigest()
+
+
+def _core(text: str, s: int, e: int) -> tuple[int, int]:
+    while s < e and text[s] in _OPEN:
+        s += 1
+    while e > s and text[e - 1] in _CLOSE:
+        e -= 1
+    return s, e
+
+
+def entities(text: str, base) -> list[tuple[int, int, int | None, list[str]]]:
+    """(start, end, seed's kind or None, patterns) of base spans and candidates, by start."""
+    tokens = [m.span() for m in _TOKEN.finditer(text)]
+    found = [(s, e, k) for k, s, e in base]
+    taken = sorted((s, e) for s, e, _ in found)
+    i = 0
+    for s, e in tokens:
+        while i < len(taken) and taken[i][1] <= s:
+            i += 1
+        if e - s < MIN_TOKEN or (i < len(taken) and taken[i][0] < e) or not (_DIGIT.search(text, s, e) or "@" in text[s:e]):
+            continue
         if m := _ASSIGN.match(text, s, e):
-            if kind is None and m.end() < e:
-                patterns.append("in:" + _low(m[0]))
-                begin, e = m.end(), e - (text[e - 1] in "\"',;.")
-        if before:
-            patterns.append("one:" + before[-1])
-            patterns.append("two:" + " ".join(before))
-        shape = _shape(text[begin:e])
-        out += [(p, shape, kind, begin, e) for p in patterns]
+            s = m.end()
+        s, e = _core(text, s, e)
+        if e - s >= MIN_TOKEN and (_DIGIT.search(text, s, e) or "@" in text[s:e]):
+            found.append((s, e, SECRET if _HEX.fullmatch(text, s, e) else None))
+    starts = [s for s, _ in tokens]
+    out = []
+    for s, e, kind in sorted(found, key=lambda x: x[:2]):
+        n = bisect_right(starts, s) - 1  # the token that the entity begins in
+        last = bisect_left(starts, e) - 1
+        before = [_low(text[a:b]) for a, b in tokens[max(0, n - 2) : n]]
+        after = [_low(text[a:b]) for a, b in tokens[last + 1 : last + 2]]
+        head, tail = _low(text[tokens[n][0] : s]), _low(text[e : tokens[last][1]])
+        left = " ".join([*before[-1:], head])
+        patterns = [f"L2:{' '.join([*before, head])}"] * (len(before) == 2) + [f"L1:{left}"] * bool(before) + [f"R1:{' '.join([tail, *after])}"] * bool(after)
+        patterns += [f"LR:{left}>{' '.join([tail, *after])}"] * bool(before and after)
+        patterns += [f"IN:{head}"] * bool(_ASSIGN.match(head))
+        out.append((s, e, kind, patterns))
     return out
 
 
-_BASE = "doc_id long, tid long, n_email long, n_ip long, n_card long, n_phone long, base array<struct<k:int,s:int,e:int>>, seen array<struct<p:string,shape:string,kind:int,s:int,e:int>>"
+_SEEN = "p string, inst long, kind int, tid long"
+_SPANS = "array<struct<k:int,s:int,e:int>>"
+_OCCURRENCES = "array<struct<s:int,e:int,p:string>>"
+_SPAN_TYPE = pa.list_(pa.struct([("k", pa.int32()), ("s", pa.int32()), ("e", pa.int32())]))
+
 
+def _may(texts: pa.Array) -> list[int]:
+    """The rows whose text has a digit or an @; no other holds an entity."""
+    return pc.indices_nonzero(pc.fill_null(pc.match_substring_regex(texts, "[0-9@]"), False)).to_pylist()
 
-def _scan(batches):
-    base_type = pa.list_(pa.struct([("k", pa.int32()), ("s", pa.int32()), ("e", pa.int32())]))
-    seen_type = pa.list_(pa.struct([("p", pa.string()), ("shape", pa.string()), ("kind", pa.int32()), ("s", pa.int32()), ("e", pa.int32())]))
+
+def _key(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def _graph(batches):
+    """Edges of the pattern-instance graph, one row a pattern, instance and text."""
     for batch in batches:
-        counts, base, seen = [], [], []
-        for value in batch.column(2):
-            text = value.as_py() or ""
-            spans = base_spans(text)
-            counts.append([sum(k == i for k, _, _ in spans) for i in range(4)])
-            base.append([{"k": k, "s": s, "e": e} for k, s, e in spans])
-            seen.append([{"p": p, "shape": h, "kind": k, "s": s, "e": e} for p, h, k, s, e in occurrences(text, spans)])
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, pa.int64()) for c in zip(*counts, strict=True)), pa.array(base, base_type), pa.array(seen, seen_type)], ["doc_id", "tid", "n_email", "n_ip", "n_card", "n_phone", "base", "seen"]) if counts else pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array([], pa.int64())] * 4, pa.array([], base_type), pa.array([], seen_type)], ["doc_id", "tid", "n_email", "n_ip", "n_card", "n_phone", "base", "seen"])
-
-
-def learned_patterns(seen: DataFrame) -> DataFrame:
-    """Accepted (p, kind, score) from occurrences (p, shape, kind or null)."""
-    edges = save(seen.groupBy("p", "shape", F.coalesce("kind", F.lit(-1)).alias("seed")).agg(F.count("*").alias("n")), "edges")
-    shapes = edges.groupBy("shape", "seed").agg(F.sum("n").alias("n")).where("seed >= 0").select("shape", F.col("seed").alias("kind"), F.lit(1.0).alias("score"))
-    for i in range(ROUNDS):
-        all_ = edges.groupBy("p").agg(F.sum("n").alias("total"))
-        hit = edges.join(shapes, "shape").where("seed = -1 or seed = kind").groupBy("p", "kind").agg(F.sum(F.col("n") * F.col("score")).alias("got"))
-        patterns = save(hit.join(all_, "p").select("p", "kind", "total", (F.col("got") / (F.col("total") + SMOOTH)).alias("score")), "patterns")
-        if i + 1 < ROUNDS:
-            new = edges.where("seed = -1").join(patterns, "p").groupBy("shape", "kind").agg((F.sum(F.col("n") * F.col("score")) / F.sum("n")).alias("score"))
-            shapes = save(shapes.where("score = 1").unionByName(new).groupBy("shape", "kind").agg(F.max("score").alias("score")), "shapes")
-    rank = F.struct("score", (-F.col("kind")).alias("k"))
-    return patterns.where((F.col("score") >= ACCEPT) & (F.col("total") >= SUPPORT)).groupBy("p").agg(F.max(rank).alias("m")).select("p", (-F.col("m.k")).alias("kind"), F.col("m.score").alias("score"))
-
-
-def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    text = F.col(text_col).cast("string")
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("tid"), text.alias("text"))
-
-
-def _extra(scanned: DataFrame) -> DataFrame:
-    """(doc_id, tid, extra) of the texts in which learned patterns find spans."""
-    seen = scanned.select("doc_id", "tid", F.explode("seen").alias("x")).select("doc_id", "tid", "x.*")
-    found = seen.where("kind is null").drop("kind").distinct().join(learned_patterns(seen), "p")
-    best = found.groupBy("doc_id", "tid", "s", "e").agg(F.max(F.struct("score", (-F.col("kind")).alias("k"))).alias("m"))
-    # at most one span a token of one text, so a document's spans are no larger than its text
-    return best.groupBy("doc_id", "tid").agg(F.array_sort(F.collect_list(F.struct((-F.col("m.k")).cast("int").alias("k"), "s", "e"))).alias("extra"))
+        rows = set()
+        texts = batch.column(0)
+        for i in _may(texts):
+            text = texts[i].as_py()
+            found = entities(text, base_spans(text))
+            tid = _key(text) if found else 0
+            for s, e, kind, patterns in found:
+                inst = _key(text[s:e].lower())
+                rows.update((p, inst, -1 if kind is None else kind, tid) for p in patterns)
+        cols = list(zip(*sorted(rows), strict=True)) if rows else [[]] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int32(), pa.int64()), strict=True)], ["p", "inst", "kind", "tid"])
+
+
+def learned_patterns(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """Accepted (p, kind, score), stored, from all texts of docs."""
+    seen = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(_graph, _SEEN)
+    seen = save(seen.distinct(), "seen")  # copies of a text count once
+    texts = seen.groupBy("p", "tid").agg(F.count("*").alias("rows")).groupBy("p").agg(F.count("*").alias("texts")).where(F.col("texts") >= SUPPORT)
+    edges = save(seen.join(texts, "p").groupBy("p", "inst", F.col("kind").alias("seed")).agg(F.max("texts").alias("texts")), "graph")
+    drop(seen)
+    size = edges.groupBy("p").agg(F.count("*").alias("size"))
+    known = edges.where("seed >= 0").select("inst", F.col("seed").alias("kind"), F.lit(1.0).alias("s")).distinct()
+    stored = []
+    for _ in range(ROUNDS):
+        hit = edges.join(known, "inst").where("seed = kind or seed = -1").groupBy("p", "kind").agg(F.sum("s").alias("got"))
+        scored = hit.join(size, "p").select("p", "kind", (F.col("got") / (F.col("size") + SMOOTH)).alias("score"))
+        best = scored.groupBy("p").agg(F.max(F.struct("score", (-F.col("kind")).alias("k"))).alias("m"))
+        accepted = save(best.select("p", (-F.col("m.k")).alias("kind"), F.col("m.score").alias("score")).where(F.col("score") >= ACCEPT), "patterns")
+        stored.append(accepted)
+        new = edges.where("seed = -1").join(accepted, "p").groupBy("inst", "kind").agg(F.max("score").alias("s"))
+        known = edges.where("seed >= 0").select("inst", F.col("seed").alias("kind"), F.lit(1.0).alias("s")).distinct().unionByName(new)
+    drop(edges, *stored[:-1])
+    return stored[-1]
+
+
+def extra_spans(text: str, base, patterns: dict[str, tuple[float, int]]) -> list[tuple[int, int, int]]:
+    """(kind, start, end) of the candidates that accepted patterns surround; the highest score decides, then the kind listed first."""
+    out = []
+    for s, e, kind, own in entities(text, base):
+        if (kind is None or kind >= BASE_KINDS) and (hits := [patterns[p] for p in own if p in patterns]):
+            out.append((-max(hits)[1], s, e))
+    return out
+
+
+def _collected(patterns: DataFrame) -> dict[str, tuple[float, int]] | None:
+    """Accepted patterns as p: (score, minus the kind), or None if they are more than PATTERNS."""
+    rows = patterns.limit(PATTERNS + 1).collect()
+    return {r["p"]: (r["score"], -r["kind"]) for r in rows} if len(rows) <= PATTERNS else None
+
+
+def _spans(patterns: dict[str, tuple[float, int]] | None, keep: int):
+    """Base spans, their numbers and the extra spans of the last column's texts; without patterns the candidates with their patterns."""
+
+    def run(batches):
+        for batch in batches:
+            n = batch.num_rows
+            base: list = [[] for _ in range(n)]
+            extra: list = [[] for _ in range(n)]
+            texts = batch.column(keep)
+            for i in _may(texts):
+                text = texts[i].as_py()
+                spans = base_spans(text)
+                base[i] = [{"k": k, "s": s, "e": e} for k, s, e in spans]
+                if patterns is None:
+                    extra[i] = [{"s": s, "e": e, "p": p} for s, e, kind, own in entities(text, spans) if kind is None or kind >= BASE_KINDS for p in own]
+                elif patterns:
+                    extra[i] = [{"k": k, "s": s, "e": e} for k, s, e in extra_spans(text, spans, patterns)]
+            more = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32()), ("p", pa.string())])) if patterns is None else _SPAN_TYPE
+            yield pa.RecordBatch.from_arrays([*batch.columns[:keep], pa.array(base, _SPAN_TYPE), pa.array(extra, more)], [*batch.schema.names[:keep], "base", "extra"])
+
+    return run
+
+
+def _with_spans(rows: DataFrame, text_col: str) -> DataFrame:
+    """rows, whose last column is the text, with base and extra in its place; no row moves unless the patterns are more than PATTERNS."""
+    accepted = learned_patterns(rows, text_col)
+    patterns = _collected(accepted)
+    n = len(rows.columns) - 1
+    schema = lambda extra: StructType([*rows.schema.fields[:n], *_parse(f"base {_SPANS}, extra {extra}")])
+    if patterns is not None:
+        drop(accepted)
+        return rows.mapInArrow(_spans(patterns, n), schema(_SPANS))
+    found = save(rows.mapInArrow(_spans(None, n), schema(_OCCURRENCES)).withColumn("_row", F.expr("uuid()")), "found")
+    spans = found.select("_row", F.explode("extra").alias("x")).select("_row", "x.*").join(accepted, "p").groupBy("_row", "s", "e").agg(F.max(F.struct("score", (-F.col("kind")).alias("k"))).alias("m"))
+    # at most one span a token of one text, so a row's spans are no larger than its text
+    spans = spans.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct((-F.col("m.k")).cast("int").alias("k"), "s", "e"))).alias("spans"))
+    none = F.array().cast(_SPANS)
+    return found.join(spans, "_row", "left").select(*rows.columns[:n], "base", F.coalesce("spans", none).alias("extra"))
+
+
+def _parse(ddl: str) -> list:
+    return StructType.fromDDL(ddl).fields
 
 
 def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, n_email, n_ip, n_card, n_phone (base spans), base, extra (arrays of structs k, s, e: the number of
-    the kind, start, end in code points). Null texts count as empty. extra holds learned spans that touch no base span, distinct; where
-    patterns differ, the highest score decides, then the kind listed first. Repeated rows stay.
+    the kind, start, end in code points). Null texts count as empty. extra holds learned spans, which touch no base span; where patterns
+    differ, the highest score decides, then the kind listed first. Repeated rows stay, null ids too. Texts are worked whole. Patterns are
+    learned at once, in a pass of its own.
     """
-    scanned = save(_rows(docs, id_col, text_col).mapInArrow(_scan, _BASE), "pii")
-    extra = _extra(scanned).withColumnsRenamed({"doc_id": "id2", "tid": "tid2"})
-    both = scanned.join(extra, F.col("doc_id").eqNullSafe(F.col("id2")) & (F.col("tid") == F.col("tid2")), "left")
-    none = F.array().cast("array<struct<k:int,s:int,e:int>>")
-    return both.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base", F.coalesce("extra", none).alias("extra"))
+    found = _with_spans(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), "text")
+    counts = [F.expr(f"cast(size(filter(base, x -> x.k = {k})) as long)").alias(f"n_{name}") for k, name in enumerate(KINDS[:BASE_KINDS])]
+    return found.select("doc_id", *counts, "base", "extra")
 
 
 def spans_string(spans):
@@ -180,32 +270,33 @@ def digest_of(text: str) -> str:
     return hashlib.sha256(joined(base_spans(text)).encode()).hexdigest()
 
 
-def _replaced(text: str, extra) -> str:
+def _replaced(text: str, spans) -> str:
     out, at = [], 0
-    for s, e, k in sorted((s, -e, k) for k, s, e in [*base_spans(text), *((x["k"], x["s"], x["e"]) for x in extra or ())]):
+    for s, e, k in sorted((x["s"], -x["e"], x["k"]) for x in spans):
         if s >= at:
             out += [text[at:s], f"<{KINDS[k]}>"]
             at = -e
     return "".join([*out, text[at:]])
 
 
-def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns, with each base or learned span of the text replaced by its kind in angle brackets.
 
     Patterns are learned on all rows first. Of spans that overlap, the first stays, of equal starts the longest. Null texts stay null.
     """
-    extra = _extra(save(_rows(docs, id_col, text_col).mapInArrow(_scan, _BASE), "pii"))
-    extra = extra.select(F.col("doc_id").alias("_pii_id"), F.col("tid").alias("_pii_tid"), F.col("extra").alias("_pii_extra"))
-    same = docs[id_col].cast("long").eqNullSafe(F.col("_pii_id")) & (F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit(""))) == F.col("_pii_tid"))
-    both = docs.join(extra, same, "left").drop("_pii_id", "_pii_tid")
-    i = docs.columns.index(text_col)
+    names = docs.columns
+    i = names.index(text_col)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    found = _with_spans(rows, "text")
 
     def run(batches):
         for batch in batches:
-            texts, more = batch.column(i).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
-            new = pa.array([None if t is None else _replaced(t, x) for t, x in zip(texts, more, strict=True)], batch.schema.field(i).type)
-            keep = [batch.column(c) for c in range(batch.num_columns - 1)]
-            keep[i] = new
-            yield pa.RecordBatch.from_arrays(keep, batch.schema.names[:-1])
-
-    return both.mapInArrow(run, docs.schema)
+            cols = batch.column(0).flatten()
+            base, extra = batch.column(1), batch.column(2)
+            texts = cols[i].to_pylist()
+            for k in pc.indices_nonzero(pc.greater(pc.add(pc.list_value_length(base), pc.list_value_length(extra)), 0)).to_pylist():
+                texts[k] = _replaced(texts[k], base[k].as_py() + extra[k].as_py())
+            cols[i] = pa.array(texts, cols[i].type)
+            yield pa.RecordBatch.from_arrays(cols, names)
+
+    return found.mapInArrow(run, docs.schema)

@@ -497,16 +497,76 @@ def test_base_spans_match_the_patterns():
         assert pii.base_spans(t) == base(t), t
 
 
+def hexes(r, n=40):
+    return "a1" + "".join(r.choice("0123456789abcdef") for _ in range(n - 2))
+
+
 def test_learned_identifiers(spark):
-    mails = [f"Please write to me: user{i}@mail.example.org today" for i in range(40)]
-    hidden = ["Please write to me: anna(at)mail7 today", "nothing 123456 here", None, ""]
-    d = frame(spark, mails + hidden)
-    got = {r.doc_id: r for r in pii.detect(d).collect()}
-    assert len(got) == 44 and all(got[i].n_email == 1 and not got[i].extra for i in range(40))
-    (span,) = got[40].extra
-    assert hidden[0][span.s : span.e] == "anna(at)mail7" and span.k == 0 and not got[41].extra and not got[42].extra
-    clean = {r.doc_id: r.text for r in pii.redact(d).collect()}
-    assert clean[0] == clean[40] == "Please write to me: <email> today" and clean[41] == hidden[1] and clean[42] is None and clean[43] == ""
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(5))
+    mails = [f"{word()} please write to me: user{i}@mail{i}.example.org today {word()}" for i in range(12)]
+    secrets = [f'{word()} token = "{hexes(r)}" {word()}' for _ in range(12)]
+    calls = [f"{word()} phone={f'+1 (555) 555-01{i:02}'} {word()}" for i in range(12)]
+    hidden = ["please write to me: anna(at)mail7 today", "nothing 123456 here", f'{word()} token = "Zq81-xx-77k" {word()}', f"{word()} {hexes(r)} alone", "x phone=555-0123 y", None, ""]
+    d = frame(spark, mails + secrets + calls + hidden)
+    spans = lambda x, t: [(pii.KINDS[y.k], t[y.s : y.e]) for y in x.extra]
+    want = {36: [("email", "anna(at)mail7")], 38: [("secret", "Zq81-xx-77k")], 40: [("phone", "555-0123")]}
+    texts = mails + secrets + calls + hidden
+    for most in (pii.PATTERNS, 0):
+        old, pii.PATTERNS = pii.PATTERNS, most
+        try:
+            got = {x.doc_id: x for x in pii.detect(d).collect()}
+            clean = {x.doc_id: x.text for x in pii.redact(d).collect()}
+        finally:
+            pii.PATTERNS = old
+        assert len(got) == len(texts) and all(got[i].n_email == 1 and not got[i].extra for i in range(12))
+        assert all([k for k, _ in spans(got[i], texts[i])] == ["secret"] for i in range(12, 24))
+        assert all(got[i].n_phone == 1 and not got[i].extra for i in range(24, 36))
+        assert {i: spans(got[i], texts[i] or "") for i in range(36, 43)} == {i: want.get(i, []) for i in range(36, 43)}
+        assert clean[36] == "please write to me: <email> today" and clean[37] == hidden[1] and clean[41] is None and clean[42] == ""
+        assert clean[12] == re.sub('"[^"]*"', '"<secret>"', secrets[0])
     assert pii.redact(d).columns == d.columns
-    assert pii.detect(frame(spark, [])).collect() == []
-    assert pii.detect(d.union(d)).count() == 88
+    assert pii.detect(frame(spark, [])).collect() == [] and pii.redact(frame(spark, [])).collect() == []
+    assert pii.detect(d.union(d)).count() == 2 * len(texts)
+
+
+def test_copies_of_a_text_support_no_pattern(spark):
+    one = 'x token = "a1b2c3d4e5f6a1b2c3d4e5f6a1b2c3d4e5f6" y'
+    assert all(not x.extra for x in pii.detect(frame(spark, [one] * 30 + ['u token = "Zq81-xx-77k" v'])).collect())
+
+
+def test_graph_scores_equal_brute_force(spark):
+    """Three rounds over the pattern-instance graph, done again with dictionaries."""
+    r = random.Random(8)
+    names = ["user", "mail", "token", "ip", "code"]
+    value = [lambda: f"u{r.randrange(30)}@m{r.randrange(9)}.org", lambda: f"10.0.{r.randrange(9)}.{r.randrange(9)}", lambda: hexes(r, 34), lambda: f"id-{r.randrange(20)}x{r.randrange(9)}"]
+    pick = lambda: j if r.random() < 0.97 else r.randrange(4)
+    texts = []
+    for _ in range(600):
+        j = r.randrange(4)
+        texts.append(f"{r.choice('abcd')} {names[j]}: {value[pick()]()} {r.choice('pqr')}")
+    got = {(x.p, x.kind): x.score for x in pii.learned_patterns(frame(spark, texts)).collect()}
+    seen = {(p, t[s:e].lower(), -1 if k is None else k, t) for t in texts for s, e, k, own in pii.entities(t, pii.base_spans(t)) for p in own}
+    support = Counter(p for p, _ in {(p, t) for p, _, _, t in seen})
+    edges = {(p, i, k) for p, i, k, _ in seen if support[p] >= pii.SUPPORT}
+    size = Counter(p for p, _, _ in edges)
+    seeds = {(i, k): 1.0 for _, i, k in edges if k >= 0}
+    known = dict(seeds)
+    for _ in range(pii.ROUNDS):
+        scores = defaultdict(float)
+        for p, i, k in edges:
+            for kind in range(5):
+                if k in (-1, kind):
+                    scores[p, kind] += known.get((i, kind), 0.0)
+        best = {}
+        for (p, kind), v in scores.items():
+            if v > 0:
+                best[p] = max(best.get(p, (-1, 0)), (v / (size[p] + pii.SMOOTH), -kind))
+        accepted = {(p, -k): v for p, (v, k) in best.items() if v >= pii.ACCEPT}
+        known = dict(seeds)
+        for p, i, k in edges:
+            if k == -1:
+                for (q, kind), v in accepted.items():
+                    if q == p:
+                        known[i, kind] = max(known.get((i, kind), 0.0), v)
+    assert got and got == pytest.approx(accepted)
