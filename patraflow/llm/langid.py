@@ -3,8 +3,9 @@
 A bounded sample of labelled text per language becomes a suffix automaton. A text is parsed greedily into the longest matches against each
 automaton; a phrase costs log2(sample length) bits. The language with the fewest bits per byte, so the fewest normalised phrases, wins.
 
-Bounds of the model, both parameters: `slots` sampled rows a language and the first `slot_bytes` bytes of each. Predictions read whole
-texts: these are parsed in segments of SEGMENT bytes, all segments of a batch in step, so a phrase never spans two segments.
+The model's bound: `slots` sampled passages of `passage` characters a language, drawn by hash from all passages of all labelled texts.
+Predictions read whole texts, however long: these are parsed in segments of SEGMENT bytes, all segments of a batch in step, so a phrase
+never spans two segments.
 """
 
 from __future__ import annotations
@@ -32,16 +33,18 @@ class LanguageModel:
     samples: tuple[bytes, ...]
 
 
-def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", slots: int = 48, slot_bytes: int = 1024) -> LanguageModel:
-    """Learns from rows whose text and label aren't null and whose text has a letter. The sample follows hashes of the ids."""
-    rows = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(id_col)).alias("key"), F.lower(F.col(text_col)).alias("text"))
+def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", slots: int = 48, passage: int = 1024) -> LanguageModel:
+    """Learns from rows whose text and label aren't null and whose text has a letter. The sample follows hashes of ids and passages; of rows
+    that share both, the smaller passage is taken."""
+    rows = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(id_col).cast("string")).alias("id"), F.lower(F.col(text_col)).alias("text"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    picked = rows.groupBy("lang", F.pmod("key", F.lit(slots)).alias("slot")).agg(F.min("key").alias("key")).select("lang", "key")
-    rows = rows.join(F.broadcast(picked), ["lang", "key"])  # slots rows a language
-    found = rows.select("lang", "key", F.substring("text", 1, slot_bytes).alias("text")).groupBy("lang", "key").agg(F.min("text").alias("text")).collect()
+    parts = rows.withColumn("i", F.explode(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / passage).cast("int")))).withColumn("key", F.xxhash64("id", "i"))
+    picked = parts.groupBy("lang", F.pmod("key", F.lit(slots)).alias("slot")).agg(F.min("key").alias("key")).select("lang", "key")
+    parts = parts.join(F.broadcast(picked), ["lang", "key"])  # slots rows a language
+    found = parts.select("lang", "key", F.substring("text", F.col("i") * passage + 1, F.lit(passage)).alias("text")).groupBy("lang", "key").agg(F.min("text").alias("text")).collect()
     texts: dict[str, list[bytes]] = {}
     for r in sorted(found):
-        texts.setdefault(r["lang"], []).append(re.sub(b" +", b" ", _FOLD[np.frombuffer(r["text"].encode()[:slot_bytes], np.uint8)].tobytes()))
+        texts.setdefault(r["lang"], []).append(re.sub(b" +", b" ", _FOLD[np.frombuffer(r["text"].encode(), np.uint8)].tobytes()))
     return LanguageModel(tuple(sorted(texts)), tuple(b" ".join(texts[k]) for k in sorted(texts)))
 
 
