@@ -1,12 +1,11 @@
 """Quality classifier: Naive Bayes support vectors.
 
-Features are indicators of n-grams: byte 3-grams of the text as it is, hashed to 2**16, and runs of one word repeated 2, 3, 5 or more times
-(n-grams of equal words). Each indicator is scaled by its class log-count ratio; a linear hinge-loss model on the scaled indicators is
+Features are indicators of n-grams: byte 3-grams of the text as it is, words and pairs of words, each of these three hashed to its own 2**16,
+and n-grams of one word repeated, of 2, 3, 5 or 9 words. Each indicator is scaled by its class log-count ratio; a linear hinge-loss model on the scaled indicators is
 fitted by dual coordinate descent. Two half-fits score each other's rows, and a logistic curve through these margins, weighted to the
 classes' true counts, turns margins into probabilities.
 
-Bounds of the fit, both parameters: `per_class` sampled labelled rows a class (by hash of the id) and `fit_chars` characters of each.
-Scores read whole texts.
+The bound of the fit: `per_class` sampled labelled rows a class, by hash of the id. Fit and scores read whole texts, however long.
 """
 
 from __future__ import annotations
@@ -22,8 +21,8 @@ from . import _text as X
 from .langid import held_out
 
 GRAMS, RUNS = 1 << 16, (2, 3, 5, 9)
-WIDTH = GRAMS + len(RUNS)
-ROWS = 256
+WIDTH = 3 * GRAMS + len(RUNS)
+ROWS = 64
 
 
 @dataclass(frozen=True)
@@ -44,6 +43,9 @@ def features(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     gram = ((b[:-2] | b[1:-1] << 8 | b[2:] << 16) * np.uint32(0x9E3779B1) >> 16).astype(np.int64) if len(b) > 2 else np.zeros(0, np.int64)
     starts, ends, first = X.words(data, at)
     h = X.word_hashes(data, starts, ends)
+    shift = X.U(48)
+    word = (h >> shift).astype(np.int64) + GRAMS
+    pair = (X.joined(h[:-1], h[1:]) >> shift).astype(np.int64) + 2 * GRAMS
     same = np.zeros(len(h), np.int64)
     same[1:] = h[1:] == h[:-1]
     same[first[:-1][first[:-1] < len(h)]] = 0
@@ -55,9 +57,11 @@ def features(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         seen = np.zeros((j - i, WIDTH), bool)
         for r in range(i, j):
             seen[r - i, gram[at[r] : max(at[r], at[r + 1] - 2)]] = True
+            seen[r - i, word[first[r] : first[r + 1]]] = True
+            seen[r - i, pair[first[r] : max(first[r], first[r + 1] - 1)]] = True
         part = slice(*np.searchsorted(owner, [i, j]))
         for k, run in enumerate(RUNS):
-            seen[owner[part][length[part] >= run] - i, GRAMS + k] = True
+            seen[owner[part][length[part] >= run] - i, 3 * GRAMS + k] = True
         cell = np.flatnonzero(seen.ravel())
         rows.append(cell // WIDTH + i)
         cols.append(cell % WIDTH)
@@ -116,13 +120,13 @@ def logistic(margin: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[flo
     return float(beta[0]), float(beta[1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", per_class: int = 3000, fit_chars: int = 20_000, c: float = 0.02) -> QualityModel | None:
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", per_class: int = 3000, c: float = 0.02) -> QualityModel | None:
     """Learns from labelled rows of docs; null labels are left out. None if a class has no row."""
     known = labels.select(F.col(id_col).alias("id"), (F.col(label_col) > 0).cast("int").alias("label")).where("label is not null and id is not null")
-    known = known.withColumn("key", F.xxhash64("id"))
+    known = known.withColumn("key", F.xxhash64(F.col("id").cast("string")))
     total = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     picked = known.groupBy("label", F.pmod("key", F.lit(per_class)).alias("slot")).agg(F.min("key").alias("key")).select("label", "key")
-    text = docs.select(F.xxhash64(id_col).alias("key"), F.substring(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 1, fit_chars).alias("text"))
+    text = docs.select(F.xxhash64(F.col(id_col).cast("string")).alias("key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = text.join(F.broadcast(picked), "key").groupBy("label", "key").agg(F.min("text").alias("text"))  # per_class rows a class
     found = sorted(((r["label"], np.array(r["cols"], np.int64)) for r in rows.select("label", "text").mapInArrow(_features, "label int, cols array<int>").collect()), key=lambda x: (x[0], len(x[1]), x[1].tolist()))
     sets, y = [s for _, s in found], np.array([1 if v else -1 for v, _ in found])
