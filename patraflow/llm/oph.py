@@ -19,9 +19,15 @@ from pyspark.sql import functions as F
 from . import _text as X
 
 BINS, BITS, SHINGLE = 256, 8, 5
+#: Ranges of ids at most: the bound of the cuts that go to the workers.
+RANGES = 10_000
 U = np.uint64
 _NONE = U(0xFFFFFFFFFFFFFFFF)
-_ATTEMPT = [(X.mix(np.arange(BINS, dtype=np.uint64) * U(0x9E3779B97F4A7C15) + U(a * 0xD1B54A32D192ED03 % 2**64)) >> U(56)).astype(np.int64) for a in range(1, 513)]
+
+
+def _attempt(a: int) -> np.ndarray:
+    """The bin that each bin looks into at its attempt a."""
+    return (X.mix(np.arange(BINS, dtype=np.uint64) * U(0x9E3779B97F4A7C15) + U(a * 0xD1B54A32D192ED03 % 2**64)) >> U(56)).astype(np.int64)
 
 
 def sketches(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -41,15 +47,16 @@ def sketches(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     filled[cell[head]] = True
     bins, filled = bins.reshape(n, BINS), filled.reshape(n, BINS)
     some = filled.any(1)
-    r, c = np.nonzero(~filled & some[:, None])
-    for jump in _ATTEMPT:
-        if not len(r):
-            break
-        ok = filled[r, jump[c]]
-        bins[r[ok], c[ok]] = bins[r[ok], jump[c[ok]]]
+    single = filled.sum(1) == 1  # all attempts end in the one filled bin
+    bins[single] = bins[single, filled[single].argmax(1)][:, None]
+    r, c = np.nonzero(~filled & (some & ~single)[:, None])
+    attempt = 0
+    while len(r):
+        attempt += 1
+        jump = _attempt(attempt)[c]
+        ok = filled[r, jump]
+        bins[r[ok], c[ok]] = bins[r[ok], jump[ok]]
         r, c = r[~ok], c[~ok]
-    if len(r):  # no attempt met a filled bin: the first filled one
-        bins[r, c] = bins[r, filled[r].argmax(1)]
     # low bits of a hash of bin and value, so that bins that share a value by densification agree by chance independently
     bins = X.mix(bins + np.arange(BINS, dtype=np.uint64) * U(0x9E3779B97F4A7C15))
     return (bins & U((1 << BITS) - 1)).astype(np.uint8), some
@@ -142,13 +149,14 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """One row per row of docs with the columns of _SCHEMA: the fingerprints of the text and of its edited text, and their likeness.
 
     Rows are ordered by id, equal ids by text, null ids first; the last is followed by the first. Null texts count as empty. Ranges of ids
-    of about rows_a_part rows are worked apart; the first row of each range goes to the range before it too, as a guard.
+    of about rows_a_part rows, or of more where that would be over RANGES ranges, are worked apart, each as a stream; the first row of each
+    range goes to the range before it too, as a guard. All rows of one id are in one range.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
     ids = rows.select("doc_id")
     n, low = ids.agg(F.count(F.lit(1)), F.min("doc_id")).first()
-    parts = max(1, min(10_000, n // rows_a_part))
+    parts = max(1, min(RANGES, n // rows_a_part))
     cuts = sorted({int(c) for c in ids.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 1 / (4 * parts))} - {low}) if parts > 1 and low is not None else []
     # a range is [cut, next cut); its number is that of the cuts up to an id
     ranged = rows.withColumn("part", _range(F.col("doc_id"), cuts))
@@ -165,12 +173,14 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 
 def _range(column, cuts: list[int]):
-    """The number of cuts that are at most the value, by a balanced tree of comparisons; 0 for null."""
+    """The number of cuts that are at most the value; 0 for null."""
+    if not cuts:
+        return F.lit(0)
+    edges = np.array(cuts, np.int64)
 
-    def tree(a: int, b: int):
-        if a == b:
-            return F.lit(a)
-        m = (a + b) // 2
-        return F.when(column < cuts[m], tree(a, m)).otherwise(tree(m + 1, b))
+    @F.arrow_udf("int")
+    def number(ids: pa.Array) -> pa.Array:
+        at = np.searchsorted(edges, ids.fill_null(cuts[0] - 1).to_numpy(zero_copy_only=False), "right")
+        return pa.array(at.astype(np.int32))
 
-    return F.when(column.isNull(), F.lit(0)).otherwise(tree(0, len(cuts)))
+    return number(column)
