@@ -319,7 +319,7 @@ def test_decontamination(spark):
     d = frame(spark, texts)
     found = {(x.doc_id, x.item_id) for x in decontam.leaks(d, bench).collect()}
     assert found == {(0, 0), (1, 0), (2, 1), (3, 2), (4, 3)}
-    assert {(x.doc_id, x.item_id) for x in decontam.leaks(d, bench, block_words=5).collect()} == found
+    assert {(x.doc_id, x.item_id) for x in decontam.leaks(d, bench, block_keys=50).collect()} == found
     kept = decontam.clean(d, bench)
     assert kept.columns == d.columns and sorted(x.doc_id for x in kept.collect()) == [5, 6, 7, 8, 9]
     assert decontam.leaks(d.union(d), bench).count() == 5
@@ -342,25 +342,50 @@ def test_masks_hit_every_pattern_of_a_leak():
         assert any(all(p[i + j] == "1" for j, c in enumerate(m) if c == "1") for m in decontam.MASKS for i in range(len(p) - len(m) + 1)), p
 
 
-def test_leaks_equal_brute_force():
-    r = np.random.default_rng(2)
-    items = [(k, r.integers(0, 2**63, n).astype(np.uint64)) for k, n in enumerate([7, 8, 9, 12, 12, 15, 15, 20, 30, 59])]
-    block, cases = decontam.Block(items), []
-    for k, (_, words) in enumerate(items):
-        for every in (3, 4, 5, 6):
-            for phase in range(every):
-                cases.append((k, [i % every == phase for i in range(len(words))]))
-        cases += [(k, [i == edge for i in range(len(words))]) for edge in (0, len(words) - 1)]
-        cases += [(k, list(r.random(len(words)) < share)) for share in (0.05, 0.1, 0.2, 0.3) for _ in range(200)]
-    for k, other in cases:
-        words = np.where(other, r.integers(0, 2**63, len(other)).astype(np.uint64), items[k][1])
-        best, total, count, top = 0, 0, 0, 0
-        for o in other:
-            total, count = (total + (-2 if o else 1), count + (not o)) if total >= 0 else (-2 if o else 1, int(not o))
-            if total > top:
-                best, top = count, total
-        leaks = len(words) >= 8 and best >= min(13, -(-4 * len(words) // 5))
-        assert [x[1] for x in block.leaks(words, np.array([0, len(words)]))] == [k] * leaks
+def leaking(own, item):
+    """Whether an item leaks into a text, over all diagonals; with the number of equal words."""
+    most = 0
+    for diagonal in range(1 - len(item), len(own)):
+        best = total = count = 0
+        for j in range(max(0, -diagonal), min(len(item), len(own) - diagonal)):
+            if total < 0:
+                best = total = count = 0
+            same = own[j + diagonal] == item[j]
+            total, count = total + (1 if same else -2), count + same
+            if total > best:
+                best = total
+                most = max(most, count)
+    return most if len(item) >= 8 and most >= min(13, -(-4 * len(item) // 5)) else 0
+
+
+def test_leaks_equal_brute_force(spark):
+    """Whole texts with items whose words are substituted at 5 to 30 %, at edges and at each n-th place: every leak of the rule is found."""
+    r = random.Random(2)
+    word = lambda: f"w{r.randrange(10**6)}"
+    items = [[word() for _ in range(n)] for n in (7, 8, 9, 10, 12, 12, 14, 15, 16, 20, 20, 30, 59)]
+    texts = []
+    for item in items:
+        n = len(item)
+        masks = [[i % every == phase for i in range(n)] for every in (3, 4, 5, 6) for phase in range(every)] + [[i == edge for i in range(n)] for edge in (0, n - 1)]
+        masks += [[r.random() < share for _ in range(n)] for share in (0.05, 0.1, 0.2, 0.3) for _ in range(25)]
+        texts += [[word() for _ in range(r.randrange(6))] + [word() if o else w for o, w in zip(m, item)] + [word() for _ in range(r.randrange(6))] for m in masks]
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    want = {(i, j): n for i, t in enumerate(texts) for j, item in enumerate(items) if set(t) & set(item) and (n := leaking(t, item))}
+    got = {(x.doc_id, x.item_id): x.n_match for x in decontam.leaks(docs, bench).collect()}
+    assert len(want) > 300 and got == want
+
+
+def test_leaks_with_null_and_repeated_ids(spark):
+    text = " ".join(f"w{i}" for i in range(20))
+    bench = spark.createDataFrame([(None, text), (3, text), (3, text)], "item_id long, text string")
+    docs = spark.createDataFrame([(None, text), (None, "clean"), (5, text), (5, "other"), (5, text)], "doc_id long, text string")
+    got = sorted(((x.doc_id, x.item_id, x.n_match) for x in decontam.leaks(docs, bench).collect()), key=str)
+    assert got == [(5, 3, 20), (5, None, 20), (None, 3, 20), (None, None, 20)]
+    for sent in (decontam.SENT, 0):
+        old, decontam.SENT = decontam.SENT, sent
+        assert sorted(map(tuple, decontam.clean(docs, bench).collect()), key=str) == [(5, "other"), (None, "clean")]
+        decontam.SENT = old
 
 
 def test_suffix_automaton_parses_like_brute_force():
