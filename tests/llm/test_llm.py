@@ -435,12 +435,16 @@ def test_warc(spark, tmp_path):
     path = str(tmp_path / "archive")
     warc.write(d, path)
     assert spark.read.parquet(f"{path}/blobs").count() == len({sha(t) for _, _, t in rows})
-    whole = {r.page_id: bytes(r.payload) for r in warc.read(spark, path).collect()}
-    assert whole == {i: (t or "").encode() for i, _, t in rows}
-    warc.export(spark, path, str(tmp_path / "out"))
+    records = warc.read(spark, path).collect()
+    assert len(records) == len(rows) and sum(len(r.block) for r in records) == sum(size(t) for i, _, t in rows if i not in first)
+    warc.export(spark, path, str(tmp_path / "out"), 3)
     back = warc.read_warc(spark, str(tmp_path / "out")).collect()
-    assert sorted(bytes(r.block) for r in back if b"Type: response" in bytes(r.header)) == sorted((t or "").encode() for i, _, t in rows if i not in first)
+    key = lambda r: (bytes(r.header), bytes(r.block))
+    assert sorted(map(key, back)) == sorted(map(key, records))
+    assert len({re.search(rb"WARC-Record-ID: (.*)\r", bytes(r.header))[1] for r in back}) == len(rows)
     assert sorted(bytes(r.header) for r in back) == sorted(bytes(r.header) for r in spark.read.parquet(f"{path}/records").collect())
+    with pytest.raises(Exception, match="not the payload"):
+        warc.records_of(spark.createDataFrame([(bytes(r.header), bytes(r.block) + b"!", "0" * 64) for r in back], "header binary, block binary, block_digest string")).collect()
     assert warc.archived(d.where("false")).collect() == []
 
 
