@@ -50,6 +50,18 @@ def settle() -> None:
     _settled = True
 
 
+_held: tuple = (None, None)
+
+
+def held(key, build):
+    """What build() gives, kept in this process until something else is: a worker that serves several operators holds the tables of one."""
+    global _held
+    if _held[0] != key:
+        _held = (None, None)
+        _held = (key, build())
+    return _held[1]
+
+
 def groups(batch: pa.RecordBatch, column: str, limit: int = LIMIT) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
     """Rows, their UTF-8 bytes, and where each row's bytes begin (one more for the end). A null text has no bytes."""
     settle()

@@ -84,22 +84,20 @@ def suffix_automaton(text: bytes, code: np.ndarray, width: int) -> np.ndarray:
     return out.astype(np.int32)
 
 
-_built: dict[LanguageModel, tuple] = {}
-
-
 def _tables(model: LanguageModel):
-    if model not in _built:
-        used = np.unique(np.frombuffer(b"".join(model.samples), np.uint8))
-        width = len(used) + 1
-        code = np.full(256, len(used), np.int64)
-        code[used] = np.arange(len(used))
-        parts = [suffix_automaton(s, code, width) for s in model.samples]
-        base = np.cumsum([0, *(len(p) for p in parts)])
-        flat = np.concatenate([p + np.int32(2 * b) for p, b in zip(parts, base, strict=False)]) if parts else np.zeros((1, width), np.int32)
-        bits = np.log2([max(2, len(s)) for s in model.samples])
-        _built.clear()
-        _built[model] = flat.ravel(), code, width, base[: len(parts)], bits
-    return _built[model]
+    return X.held(model, lambda: _build(model))
+
+
+def _build(model: LanguageModel):
+    used = np.unique(np.frombuffer(b"".join(model.samples), np.uint8))
+    width = len(used) + 1
+    code = np.full(256, len(used), np.int64)
+    code[used] = np.arange(len(used))
+    parts = [suffix_automaton(s, code, width) for s in model.samples]
+    base = np.cumsum([0, *(len(p) for p in parts)])
+    flat = np.concatenate([p + np.int32(2 * b) for p, b in zip(parts, base, strict=False)]) if parts else np.zeros((1, width), np.int32)
+    bits = np.log2([max(2, len(s)) for s in model.samples])
+    return flat.ravel(), code, width, base[: len(parts)], bits
 
 
 def phrases(data: np.ndarray, at: np.ndarray, model: LanguageModel) -> np.ndarray:

@@ -32,17 +32,15 @@ SPACE = "▁"
 U = np.uint64
 #: Units of the dictionary at most, and bytes of one: together the bound of what is collected and sent to the workers.
 DICTIONARY, UNIT_BYTES = 1 << 17, 32
-#: Distinct units that a worker counts before it passes them on; rare units whose pieces it keeps.
-COUNTED, KEPT = 1 << 18, 1 << 18
 
 
 class Table:
     """Values (from 0) of 64-bit hashes, by open addressing."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        bits = max(6, int(8 * len(keys)).bit_length())
+        bits = max(6, int(3 * len(keys)).bit_length())
         self.shift, self.mask = U(64 - bits), (1 << bits) - 1
-        self.key, self.value = np.zeros(1 << bits, U), np.full(1 << bits, -1, np.int64)
+        self.key, self.value = np.zeros(1 << bits, U), np.full(1 << bits, -1, np.int32)
         left, slot = np.arange(len(keys)), (keys >> self.shift).astype(np.int64)
         while len(left):
             free = self.value[slot] < 0
@@ -55,7 +53,7 @@ class Table:
     def get(self, h: np.ndarray) -> np.ndarray:
         """The hashes' values; -1 where there is none."""
         slot = (h >> self.shift).astype(np.int64)
-        out = self.value[slot]
+        out = self.value[slot].astype(np.int64)
         other = np.flatnonzero((out >= 0) & (self.key[slot] != h))
         while len(other):
             slot = (slot if len(slot) == len(other) else slot[other]) + 1 & self.mask
@@ -158,11 +156,16 @@ def _index(texts: list[bytes], values: list[int]) -> Table:
     return Table(X.word_hashes(np.frombuffer(b"".join(texts) or b"\0", np.uint8), at[:-1], at[1:]), np.array(values, np.int64))
 
 
-@lru_cache(2)
+@lru_cache(1)
 def load(path: str = MODEL) -> Pieces:
     return Pieces(piece_rows(path))
 
 
+def _pieces(path: str) -> Pieces:
+    """In a worker."""
+    return X.held(("pieces", path), lambda: Pieces(piece_rows(path)))
+
+
 def piece_rows(path: str = MODEL) -> list[tuple[int, str, float, str]]:
     import sentencepiece
 
@@ -297,36 +300,21 @@ def distinct_units(full: np.ndarray, begin: np.ndarray):
     return end, np.concatenate([key, h[odd]]), np.concatenate([where, odd]), back
 
 
-_kept: dict[str, Dictionary] = {}
-
-
-def encode_texts(data: np.ndarray, at: np.ndarray, pieces: Pieces, words: Dictionary = EMPTY, kept: str = "") -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all texts (bytes with spaces for space signs, borders at), and how many each has. words: pieces of units. kept names a model
-    whose rare units this worker keeps from batch to batch."""
+def encode_texts(data: np.ndarray, at: np.ndarray, pieces: Pieces, words: Dictionary = EMPTY) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts (bytes with spaces for space signs, borders at), and how many each has. words: pieces of units."""
     full, at2, begin = split_units(data, at, pieces)
     if not len(full):
         return np.zeros(0, np.int64), np.zeros(len(at) - 1, np.int64)
     end, key, where, back = distinct_units(full, begin)
     found = words.find(full, begin[where], end[where], key)
-    own = np.flatnonzero(found < 0)
-    rare = _kept.get(kept, EMPTY)
-    known = rare.find(full, begin[where[own]], end[where[own]], key[own])
-    new = own[known < 0]
+    new, hit = np.flatnonzero(found < 0), found >= 0
     b, e = begin[where[new]], end[where[new]]
-    size = e - b
-    fresh = full[_ragged(b, size)], np.concatenate([[0], np.cumsum(size)])
-    ids, count = encode_units(*fresh, pieces)
-    # the pieces of the dictionary's units, those of kept ones and those of new ones
-    flat = np.concatenate([words.ids, rare.ids, ids])
+    ids, count = encode_units(full[_ragged(b, e - b)], np.concatenate([[0], np.cumsum(e - b)]), pieces)
+    # the pieces of the dictionary's units, then those of the others
+    flat = np.concatenate([words.ids, ids])
     first, n = np.zeros(len(key), np.int64), np.zeros(len(key), np.int64)
-    hit = found >= 0
     first[hit], n[hit] = words.begin[found[hit]], words.count[found[hit]]
-    old = own[known >= 0]
-    first[old], n[old] = len(words.ids) + rare.begin[known[known >= 0]], rare.count[known[known >= 0]]
-    first[new], n[new] = len(words.ids) + len(rare.ids) + np.cumsum(count) - count, count
-    if kept:
-        few = rare if len(rare.count) + len(count) <= KEPT else EMPTY
-        _kept[kept] = Dictionary(np.concatenate([few.data, fresh[0]]), np.concatenate([few.at[:-1], few.at[-1] + fresh[1]]), np.concatenate([few.ids, ids]), np.concatenate([few.count, count]))
+    first[new], n[new] = len(words.ids) + np.cumsum(count) - count, count
     n = n[back]
     out = flat[_ragged(first[back], n)]
     unit = np.searchsorted(begin, at2)
@@ -347,11 +335,11 @@ def _plain(batch: pa.RecordBatch, column: int) -> pa.RecordBatch:
 
 def _encode(model: str, text: str, keep: list[int], check: bool, words: Dictionary):
     def run(batches):
-        pieces = load(model)
+        pieces = _pieces(model)
         for batch in batches:
             i = batch.schema.get_field_index(text)
             for rows, data, at in X.groups(_plain(batch, i), "t"):
-                ids, count = encode_texts(data, at, pieces, words, model)
+                ids, count = encode_texts(data, at, pieces, words)
                 lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(count)]).astype(np.int32), pa.array(ids.astype(np.int32)))
                 cols = [batch.column(c)[rows] for c in keep] + [lists, pa.array(count)]
                 names = [batch.schema.names[c] for c in keep] + ["ids", "n_pieces"]
@@ -368,7 +356,7 @@ def unit_counts(docs: DataFrame, text_col: str = "text", model: str = MODEL) ->
     """(unit, n) over all documents, of units of UNIT_BYTES at most that occur twice or more among some neighbouring texts."""
 
     def run(batches):
-        pieces = load(model)
+        pieces = _pieces(model)
         for batch in batches:
             for _, data, at in X.groups(_plain(batch, 0), "t"):
                 full, _, begin = split_units(data, at, pieces)
@@ -425,7 +413,7 @@ def decode(encoded: DataFrame, ids_col: str = "ids", out_col: str = "text", mode
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema if f.name != out_col)
 
     def run(batches):
-        pieces = load(model)
+        pieces = _pieces(model)
         for batch in batches:
             lists = batch.column(batch.schema.get_field_index(ids_col))
             count = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -456,7 +444,7 @@ def fold_merges(edges: DataFrame, model: str = MODEL) -> DataFrame:
     pairs = met.select("word", "x", F.explode_outer("ids").alias("a"))
 
     def test(batches):
-        pieces = load(model)
+        pieces = _pieces(model)
         for batch in batches:
             a, b = (c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns)
             yield batch.filter(pa.array(pieces.compatible(a, b)))
