@@ -9,8 +9,8 @@ classes. Exact steps, each of which keeps every link:
    the parity sketch of its block. The sketches' Hamming distance is at most the symmetric difference, so at most d blocks differ and
    linked sets agree in a block whose sketch isn't zero if one of them has more than d such blocks. Where a sketch has no more, its
    smallest shingles (a prefix that linked sets must share) join as well, for partners that have no more either.
-3. Every class meets one class only, the pivot: of the smallest classes of its keys the one that most classes meet. Verified pairs give
-   components. Keys that still hold several components pair classes of different components, but only where the symmetric difference can
+3. Every class meets one class, the pivot: of the smallest classes of its keys the one that most classes meet. A class that isn't linked to
+   its pivot meets the NEXT smallest classes with which it shares the most keys. Verified pairs give components. Keys that still hold several components pair classes of different components, but only where the symmetric difference can
    be small enough: with a common pivot P, |A d B| >= u(A) + u(B) + ||P - A| - |P - B||, u being the shingles that no other such class has.
    The bound is met by an equi-join on its buckets, so pairs that it rules out are never made; the classes of a large pivot are dealt to
    as many tasks as they need.
@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _text as X
@@ -33,8 +33,10 @@ from .components import components
 SHARE = 5
 #: 64-bit words of the dense sketch.
 DENSE = 8
-#: Classes of one pivot that go to one task.
-DEALT = 256
+#: Classes of one pivot that go to one task, and rows of one class.
+DEALT, ROWS = 256, 1024
+#: Further classes that a class meets if it isn't linked to its pivot; pairs beyond are found in step 3's last part.
+NEXT = 8
 U = np.uint64
 
 
@@ -150,10 +152,10 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", "na", "nb", shared.alias("i")).where("100 * i >= 80 * (na + nb - i)").select("a", "b")
 
 
-def _pivoted(live: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _pivoted(live: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Each class with its pivot: rep, n, p, lost (shingles of the pivot that it lacks), linked. A pivot's set goes to as many tasks as its
-    classes need. Also the stored table that this reads."""
-    votes = live.where("low < rep").groupBy("low", "rep").agg(F.count("*").alias("v"))
+    classes need. Also the stored tables that this reads: votes (low, rep, v: the keys of rep whose smallest class is low) and pivots."""
+    votes = save(live.where("low < rep").groupBy("low", "rep").agg(F.count("*").alias("v")), "votes")
     fame = votes.groupBy("low").agg(F.count("*").alias("fame"))
     best = votes.join(fame, "low").groupBy("rep").agg(F.max(F.struct("fame", (-F.col("low")).alias("m"))).alias("x")).select("rep", (-F.col("x.m")).alias("p"))
     best = save(best, "pivots")
@@ -164,7 +166,7 @@ def _pivoted(live: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     met = members.join(pivots.drop("copies"), ["p", "salt"]).select("rep", "n", "p", "np", i.alias("i"))
     met = met.select("rep", "n", "p", (F.col("np") - F.col("i")).alias("lost"), F.expr("100 * i >= 80 * (n + np - i)").alias("linked"))
     alone = sets.select("rep", "n").join(best.select("rep"), "rep", "left_anti").select("rep", "n", F.col("rep").alias("p"), F.lit(0).cast("long").alias("lost"), F.lit(False).alias("linked"))
-    return met.unionByName(alone), best
+    return met.unionByName(alone), votes, best
 
 
 def _cross(reps: DataFrame, shared: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -207,7 +209,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     base = save(docs.mapInArrow(_base("doc_id", "text", k), "doc_id long, n long, d1 long, d2 long"), "sets")
-    classes = base.where("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
+    classes = base.where("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.count("*").alias("rows"))
     counted = docs.mapInArrow(_counted("text", k), "h long, d1 long").groupBy("h").agg(F.min("d1").alias("d1"), F.max("d1").alias("other"))
     alone = counted.where("d1 = other").groupBy("d1").agg(F.count("*").alias("alone"))
     left = save(classes.where("rep is not null").join(alone, "d1", "left").where("5 * coalesce(alone, 0) <= n").select("rep", "d1", "d2"), "left")
@@ -222,10 +224,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     ends = keys.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("key", "low")
     live = save(keys.join(ends, "key"), "keys")
     release(spark)
-    met, pivots = _pivoted(live, sets)
+    met, votes, pivots = _pivoted(live, sets)
     met = save(met, "met")
-    drop(pivots)
-    links = met.where("linked").select(F.col("p").alias("a"), F.col("rep").alias("b"))
+    order = Window.partitionBy("rep").orderBy(F.col("v").desc(), "low")
+    left = votes.join(met.where("not linked").select("rep", "p"), "rep").where("low <> p").withColumn("k", F.row_number().over(order))
+    further = save(_verified(left.where(F.col("k") <= NEXT).select(F.col("low").alias("a"), F.col("rep").alias("b")), sets), "further")
+    drop(votes, pivots)
+    links = met.where("linked").select(F.col("p").alias("a"), F.col("rep").alias("b")).unionByName(further)
     labels = components(links)
     named = live.select("key", "rep").join(labels, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("label", "rep").alias("label"))
     mixed = named.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("g")).where("l < g").select("key")
@@ -237,8 +242,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     drop(shared, reps, open_, sets)
     if more.limit(1).count():
         labels = components(links.unionByName(more))
-    drop(met, more)
+    drop(met, more, further)
     named = classes.join(labels, F.col("rep") == F.col("node"), "left").select("d1", "d2", F.coalesce("label", "rep").alias("component_id"))
-    named = named.unionByName(base.where("false").select("d1", "d2", F.lit(None).cast("long").alias("component_id")))
-    out = base.where("n > 0").join(named, ["d1", "d2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    # rows of a class go to as many tasks as they need; classes of a thousandth of the rows or more are a thousand at most
+    large = save(classes.where(F.col("rows") >= max(ROWS, base.count() // 1000)).select("d1", "d2", F.ceil(F.col("rows") / ROWS).cast("int").alias("copies")), "large")
+    salted = lambda df: df.join(F.broadcast(large), ["d1", "d2"], "left").withColumn("copies", F.coalesce("copies", F.lit(1)))
+    named = salted(named).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("copies")
+    rows = salted(base.where("n > 0")).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("copies")).cast("int"))
+    out = rows.join(named, ["d1", "d2", "salt"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.unionByName(base.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
