@@ -152,11 +152,11 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", "na", "nb", shared.alias("i")).where("100 * i >= 80 * (na + nb - i)").select("a", "b")
 
 
-def _pivoted(live: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _pivoted(live: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
     """Each class with its pivot: rep, n, p, lost (shingles of the pivot that it lacks), linked. A pivot's set goes to as many tasks as its
-    classes need. Also the stored tables that this reads: votes (low, rep, v: the keys of rep whose smallest class is low) and pivots."""
+    classes need. Also votes (low, rep, v: the keys of rep whose smallest class is low), and the stored tables that this reads."""
     votes = save(live.where("low < rep").groupBy("low", "rep").agg(F.count("*").alias("v")), "votes")
-    fame = votes.groupBy("low").agg(F.count("*").alias("fame"))
+    fame = save(votes.groupBy("low").agg(F.count("*").alias("fame")), "fame")  # stored, so that the join can split a popular class
     best = votes.join(fame, "low").groupBy("rep").agg(F.max(F.struct("fame", (-F.col("low")).alias("m"))).alias("x")).select("rep", (-F.col("x.m")).alias("p"))
     best = save(best, "pivots")
     copies = best.groupBy("p").agg(F.ceil(F.count("*") / DEALT).cast("int").alias("copies"))
@@ -166,7 +166,7 @@ def _pivoted(live: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame, Da
     met = members.join(pivots.drop("copies"), ["p", "salt"]).select("rep", "n", "p", "np", i.alias("i"))
     met = met.select("rep", "n", "p", (F.col("np") - F.col("i")).alias("lost"), F.expr("100 * i >= 80 * (n + np - i)").alias("linked"))
     alone = sets.select("rep", "n").join(best.select("rep"), "rep", "left_anti").select("rep", "n", F.col("rep").alias("p"), F.lit(0).cast("long").alias("lost"), F.lit(False).alias("linked"))
-    return met.unionByName(alone), votes, best
+    return met.unionByName(alone), votes, [votes, fame, best]
 
 
 def _cross(reps: DataFrame, shared: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -174,7 +174,7 @@ def _cross(reps: DataFrame, shared: DataFrame, sets: DataFrame) -> tuple[DataFra
     p, lost, of the classes in keys with several components; shared: key, rep of these keys."""
     hashes = sets.join(reps.select("rep"), "rep").select("rep", F.explode("hashes").alias("h"))
     own = hashes.groupBy("h").agg(F.min("rep").alias("rep"), F.max("rep").alias("other")).where("rep = other").groupBy("rep").agg(F.count("*").alias("u"))
-    size = reps.groupBy("p", "label").agg(F.count("*").alias("k")).groupBy("p").agg(F.max(F.struct("k", "label")).alias("x"), F.ceil(F.sum("k") / DEALT).cast("int").alias("copies")).select("p", F.col("x.label").alias("top"), "copies")
+    size = reps.groupBy("p", "label").agg(F.count("*").alias("k")).groupBy("p").agg(F.max(F.struct("k", "label")).alias("x"), F.ceil(F.sum("k") / ROWS).cast("int").alias("copies")).select("p", F.col("x.label").alias("top"), "copies")
     rows = reps.join(own, "rep", "left").na.fill(0, ["u"]).join(size, "p")
     # nine times the bounds, in whole numbers: a pair needs low(a) <= high(b) and low(b) <= high(a)
     rows = rows.withColumns({"low": F.expr("9 * (u + lost) - n"), "high": F.expr("9 * (lost - u) + n")})
@@ -182,7 +182,9 @@ def _cross(reps: DataFrame, shared: DataFrame, sets: DataFrame) -> tuple[DataFra
     rows = save(rows.withColumns({"from": bucket("low"), "to": F.greatest(F.lit(-40), F.least(F.lit(40), bucket("high")))}), "open")
     # sizes of linked sets differ by a quarter at most, so buckets in units of n / 4 are compared after widening by that ratio
     widened = F.when(F.col("from") >= 0, F.floor(F.col("from") * 0.79)).otherwise(F.floor(F.col("from") * 1.26) - 2).cast("int")
-    query = rows.where("label <> top").withColumn("bucket", F.explode(F.sequence(F.least(F.greatest(widened, F.lit(-40)), F.lit(40)), F.lit(40))))
+    most = rows.groupBy("p").agg(F.max("to").alias("most"))
+    least = F.least(F.greatest(widened, F.lit(-40)), F.lit(40))
+    query = rows.where("label <> top").join(most, "p").where(least <= F.col("most")).withColumn("bucket", F.explode(F.sequence(least, F.col("most"))))
     query = query.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
     dealt = rows.withColumn("bucket", F.col("to")).withColumn("salt", F.pmod(F.xxhash64("rep"), F.col("copies")).cast("int"))
     cols = ["rep", "label", "n", "p", "u", "low", "high", "top", "bucket", "salt"]
@@ -224,12 +226,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     ends = keys.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("key", "low")
     live = save(keys.join(ends, "key"), "keys")
     release(spark)
-    met, votes, pivots = _pivoted(live, sets)
+    met, votes, stored = _pivoted(live, sets)
     met = save(met, "met")
     order = Window.partitionBy("rep").orderBy(F.col("v").desc(), "low")
     left = votes.join(met.where("not linked").select("rep", "p"), "rep").where("low <> p").withColumn("k", F.row_number().over(order))
     further = save(_verified(left.where(F.col("k") <= NEXT).select(F.col("low").alias("a"), F.col("rep").alias("b")), sets), "further")
-    drop(votes, pivots)
+    drop(*stored)
     links = met.where("linked").select(F.col("p").alias("a"), F.col("rep").alias("b")).unionByName(further)
     labels = components(links)
     named = live.select("key", "rep").join(labels, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("label", "rep").alias("label"))
