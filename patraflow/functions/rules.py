@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 FINITE_ENDINGS = ("මි", "මු", "හි", "හු", "යි", "ති", "හ")
 SENTENCE_WORDS = ("ය", "සේක", "වටී", "යුතු", "යෙහෙකි", "මැනවි", "හොබී")
 PUNCTUATION = (".", "?", "!", "|", "||")
-CLAUSE_ENDINGS = ("ලා", "මින්", "ොත්", "තොත්", "ද්දී", "ද්දි", "තත්", "ගොස්")
+CLAUSE_ENDINGS = ("ලා", "මින්", "ගොස්", "ොත්", "තොත්", "ද්දී", "ද්දි", "තත්")
 CLAUSE_WORDS = ("නම්", "විට", "පසු", "ගොස්")
 CONNECTIVES = ("නමුත්", "එහෙත්", "එබැවින්", "එමනිසා", "නිසා", "එනිසා", "එසේහෙයින්", "එහෙයින්")
 NEVER_SPLIT = ("සහ", "සමඟ", "සමග", "හා", "කැටුව", "ද", "හෝ", "නොහොත්", "නො", "නොව")

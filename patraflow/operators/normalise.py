@@ -9,7 +9,7 @@ import re
 from collections.abc import Iterator, Mapping
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -43,14 +43,28 @@ def converter(tables: Tables):
     return convert
 
 
+def _real() -> Column:
+    return ~F.coalesce(F.col("synthetic"), F.lit(False))
+
+
+def font_table(spans: DataFrame) -> DataFrame:
+    """(font, name, class, table) of the distinct fonts of real spans: each name is classified once, however many spans have it."""
+    fonts = spans.where(_real() & F.col("font").isNotNull()).select("font").distinct()
+    return fonts.select("font", N.normalise_font_name(F.col("font")).alias("name"), N.classify_font(F.col("font")).alias("class"), N.mapping_of(F.col("font")).alias("table"))
+
+
+def with_fonts(spans: DataFrame) -> DataFrame:
+    """spans with name, class and table; null for separators."""
+    table = font_table(spans).withColumnRenamed("font", "_font")
+    return spans.join(table, _real() & (F.col("font") == F.col("_font")), "left").drop("_font")
+
+
 def normalise_spans(spans: DataFrame, tables: Tables) -> DataFrame:
     """(doc_id, text, method, converted_fonts, unmapped_fonts) of spans (doc_id, pos, text, font, synthetic).
 
     Separators and fonts that can't be mapped stay as they are. Spans without a mapping skip the conversion.
     """
-    real = ~F.coalesce(F.col("synthetic"), F.lit(False))
-    rows = spans.withColumn("table", F.when(real, N.mapping_of(F.col("font")))).withColumn("class", F.when(real, N.classify_font(F.col("font"))))
-    rows = rows.withColumn("name", N.normalise_font_name(F.col("font")))
+    rows = with_fonts(spans).withColumn("class", F.when(_real(), F.coalesce("class", F.lit("unknown"))))
     rows = rows.where("table is null").withColumn("out", F.col("text")).unionByName(rows.where("table is not null").withColumn("out", converter(tables)("text", "table")))
     names = lambda kind: F.sort_array(F.collect_set(F.when(F.col("class") == kind, F.col("name"))))
     done = rows.groupBy("doc_id").agg(
@@ -77,13 +91,12 @@ def normalise(docs: DataFrame, tables: Tables, allow_ratio_fallback: bool = True
 
 def fonts_by_class(spans: DataFrame, by: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """(*by, class, fonts): sorted distinct font names of each class."""
-    real = spans.where("not coalesce(synthetic, false) and font <> ''")
-    return real.groupBy(*by, N.classify_font(F.col("font")).alias("class")).agg(F.sort_array(F.collect_set(N.normalise_font_name(F.col("font")))).alias("fonts"))
+    return with_fonts(spans.where("not coalesce(synthetic, false) and font <> ''")).groupBy(*by, "class").agg(F.sort_array(F.collect_set("name")).alias("fonts"))
 
 
 def any_legacy(spans: DataFrame) -> DataFrame:
     """Documents with a mappable span."""
-    return spans.where(~F.coalesce(F.col("synthetic"), F.lit(False)) & (N.classify_font(F.col("font")) == "legacy_mappable")).select("doc_id").distinct()
+    return with_fonts(spans).where("class = 'legacy_mappable'").select("doc_id").distinct()
 
 
 def normalise_legacy(docs: DataFrame, tables: Tables) -> DataFrame:

@@ -136,7 +136,7 @@ NAME = f"replace(regexp_replace({strip('font')}, '^[A-Z]{{6}}[+]', ''), ' ', '')
 
 
 def family(name: str) -> str:
-    return f"coalesce(nullif(regexp_replace({name}, '(?i)(?:[-, ]?(?:Regular|BoldItalic|Bold|Italic|Oblique|Light))+$', ''), ''), {name})"
+    return f"coalesce(nullif(regexp_replace({name}, '(?i)(?:[-,[:space:]]?(?:{'|'.join(N.STYLES)}))+$', ''), ''), {name})"
 
 
 def font_class(name: str, fm: bool = False) -> str:
@@ -151,7 +151,7 @@ def font_class(name: str, fm: bool = False) -> str:
 FONTS = "f AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{f}')" for i, f in enumerate(P.FONTS)) + ") AS t(id, font))"
 FONT_OF = "[" + ", ".join(f"'{f}'" for f in P.FONTS) + "]"
 N_FONTS = len(P.FONTS)
-SPANS = f"""{docs("substr(text, 1, 400)")},
+SPANS = f"""{docs("text")},
 s0 AS (SELECT doc_id, unnest(string_split(text, ' ')) AS text, generate_subscripts(string_split(text, ' '), 1) - 1 AS pos FROM d),
 s1 AS (SELECT *, {FONT_OF}[(doc_id + pos) % {N_FONTS} + 1] AS font, pos % 9 = 8 AS synthetic FROM s0),
 s2 AS (SELECT *, {NAME} AS name FROM s1), sc AS (SELECT *, CASE WHEN NOT synthetic THEN {font_class("name")} END AS class FROM s2)"""
@@ -169,7 +169,7 @@ BETTER = f"""CASE WHEN abs(b.ratio - a.ratio) > {Q.RATIO_TOLERANCE} THEN sign(b.
 SIN = inject.sinhala()
 PAGE_BOX = """least(i.x1, r.x1) - greatest(i.x0, r.x0)"""
 PAGES = f"""{docs(SIN)},
-p0 AS (SELECT doc_id, unnest(string_split(text, chr(10))[1:6]) AS line, generate_subscripts(string_split(text, chr(10))[1:6], 1) - 1 AS page FROM d),
+p0 AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS page FROM d),
 p1 AS (SELECT doc_id, page::INT AS page, CASE WHEN (doc_id + page) % 3 = 0 THEN substr(line, 1, 15) ELSE line END AS text, CASE WHEN doc_id % 50 = 0 THEN 0 ELSE 100 END AS w,
   greatest(least(doc_id % 100, CASE WHEN doc_id % 50 = 0 THEN 0 ELSE 100 END), 0) * greatest(least(page * 30, 100), 0) AS a1,
   greatest(least(60 + doc_id % 40, CASE WHEN doc_id % 50 = 0 THEN 0 ELSE 100 END) - 20, 0) * 70 AS a2 FROM p0),
@@ -233,7 +233,7 @@ SELECT word, count(*)::BIGINT AS n, {duck("word").sentence} AS sentence_end, {du
         "q_fonts_by_class": f"WITH {SPANS} SELECT class, array_to_string(list_sort(list_distinct(list(name))), '|') AS fonts FROM sc WHERE NOT synthetic AND font <> '' GROUP BY class",
         "q_ratio_heuristic": f"""WITH d AS (SELECT doc_id, text, {FONT_OF}[doc_id % {N_FONTS} + 1] AS font FROM documents), n AS (SELECT *, {NAME} AS name FROM d)
 SELECT doc_id, {strip("text")} <> '' AND {ratio("text")} < {N.RATIO_THRESHOLD} AND {font_class("name")} NOT IN ('unicode_sinhala', 'non_sinhala', 'legacy_unmappable') AND {ratio("text", f"[{T.HIGH_LATIN}]")} >= {N.HIGH_BIT_FLOOR} AS fires FROM n""",
-        "q_normalise": f"""WITH d AS (SELECT doc_id, substr(text, 1, 400) AS text, {FONT_OF}[doc_id % {N_FONTS} + 1] AS font FROM documents), n AS (SELECT *, {NAME} AS name FROM d), c AS (SELECT *, {font_class("name")} AS class FROM n),
+        "q_normalise": f"""WITH d AS (SELECT doc_id, text, {FONT_OF}[doc_id % {N_FONTS} + 1] AS font FROM documents), n AS (SELECT *, {NAME} AS name FROM d), c AS (SELECT *, {font_class("name")} AS class FROM n),
 m AS (SELECT *, CASE WHEN class = 'legacy_mappable' THEN 'font_name' WHEN {strip("text")} <> '' AND {ratio("text")} < {N.RATIO_THRESHOLD} AND class = 'unknown' AND {ratio("text", f"[{T.HIGH_LATIN}]")} >= {N.HIGH_BIT_FLOOR} THEN 'character_ratio' ELSE 'none' END AS method FROM c)
 SELECT doc_id, md5(CASE WHEN method = 'none' THEN text ELSE {CONVERT.format("text")} END) AS text_md5, method, CASE WHEN class = 'legacy_mappable' THEN name ELSE '' END AS converted, CASE WHEN class = 'legacy_unmappable' THEN name ELSE '' END AS unmapped FROM m""",
         "q_image_coverage": f"WITH {PAGES} SELECT doc_id, page, round(coverage, 9) AS coverage FROM p",

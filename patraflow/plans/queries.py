@@ -239,7 +239,7 @@ TABLES = {"fm_abhaya": {"the": "THE", "a": "α", "th": "θ", "e": "ε"}}
 
 
 def _spans(spark, sf_dir):
-    d = docs(spark, sf_dir, "substr(text, 1, 400)")
+    d = docs(spark, sf_dir)
     rows = d.select("doc_id", F.posexplode(F.split("text", " ", -1)).alias("pos", "text"))
     font = F.element_at(F.array(*map(F.lit, FONTS)), ((F.col("doc_id") + F.col("pos")) % len(FONTS) + 1).cast("int"))
     return rows.select("doc_id", "pos", "text", font.alias("font"), (F.col("pos") % 9 == 8).alias("synthetic"))
@@ -261,14 +261,14 @@ def q_ratio_heuristic(spark, sf_dir):
 
 
 def q_normalise(spark, sf_dir):
-    d = docs(spark, sf_dir, "substr(text, 1, 400)").withColumn("fonts", F.array(F.element_at(F.array(*map(F.lit, FONTS)), (F.col("doc_id") % len(FONTS) + 1).cast("int"))))
+    d = docs(spark, sf_dir).withColumn("fonts", F.array(F.element_at(F.array(*map(F.lit, FONTS)), (F.col("doc_id") % len(FONTS) + 1).cast("int"))))
     return O.normalise(d, TABLES).select("doc_id", digest(), "method", F.array_join("converted_fonts", "|").alias("converted"), F.array_join("unmapped_fonts", "|").alias("unmapped"))
 
 
 def _pages(spark, sf_dir):
     d = docs(spark, sf_dir, inject.sinhala())
     box = lambda x0, y0, x1, y1: F.struct(*(F.expr(f"CAST({v} AS DOUBLE)").alias(n) for n, v in zip(("x0", "y0", "x1", "y1"), (x0, y0, x1, y1), strict=True)))
-    rows = d.select("doc_id", F.posexplode(F.slice(F.split("text", "\n", -1), 1, 6)).alias("page", "text"))
+    rows = d.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("page", "text"))
     images = F.array(box("-10", "-10", "doc_id % 100", "page * 30"), box("20", "20", "60 + doc_id % 40", "90"))
     text = F.when((F.col("doc_id") + F.col("page")) % 3 == 0, F.substring("text", 1, 15)).otherwise(F.col("text"))
     return rows.select("doc_id", "page", text.alias("text"), box("0", "0", "CASE WHEN doc_id % 50 = 0 THEN 0 ELSE 100 END", "100").alias("rect"), F.when(F.col("doc_id") % 11 != 0, images).otherwise(F.slice(images, 1, 0)).alias("images"))
@@ -290,7 +290,7 @@ def _readings(p, kind, modulus):
 
 def _repaired(spark, sf_dir):
     p = _pages(spark, sf_dir)
-    return R.repair(p, _readings(p, "ocr", 5), _readings(p, "vlm", 3), R.MultimodalConfig("gemini"))
+    return R.repair(p, _readings(p, "ocr", 5), _readings(p, "vlm", 3), R.MultimodalConfig("gemini", max_pages=1 << 20))
 
 
 def q_repair_pages(spark, sf_dir):
