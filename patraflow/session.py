@@ -14,9 +14,11 @@ BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.ex
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Bounds Arrow batches, and lets Python workers on this machine import the package; on a cluster ship it with --py-files."""
+    """Bounds Arrow batches where the caller has not, and lets Python workers on this machine import the package; on a cluster ship it with --py-files."""
+    own = spark.conf.getAll
     for key, value in BATCHES.items():
-        spark.conf.set(key, value)
+        if key not in own:
+            spark.conf.set(key, value)
     env = spark.sparkContext.environment
     paths = env.get("PYTHONPATH", "").split(os.pathsep)
     if ROOT not in paths:
