@@ -9,7 +9,7 @@ from ..functions import quality as Q
 
 # The backends in order, with their costs.
 PDF_BACKENDS = (("pypdf", 1), ("pymupdf", 2), ("pdfplumber", 3), ("pdfminer", 4))
-SPAN_COST = 2
+SPAN_BACKEND, SPAN_COST = "pymupdf+spans", 2
 ERROR_CHARS = 500
 
 
@@ -29,7 +29,7 @@ def scored(results: DataFrame, span_texts: DataFrame | None = None) -> DataFrame
     """Candidates (doc_id, ordinal, backend_id, cost, text, quality); span_texts (doc_id, text) adds the converted-span candidate."""
     rows = results.where("error_type is null").select("doc_id", "ordinal", "backend_id", "cost", "text")
     if span_texts is not None:
-        rows = rows.unionByName(span_texts.select("doc_id", F.lit(len(PDF_BACKENDS)).alias("ordinal"), F.lit("pymupdf_spans").alias("backend_id"), F.lit(SPAN_COST).alias("cost"), "text"))
+        rows = rows.unionByName(span_texts.select("doc_id", F.lit(len(PDF_BACKENDS)).alias("ordinal"), F.lit(SPAN_BACKEND).alias("backend_id"), F.lit(SPAN_COST).alias("cost"), "text"))
     return rows.withColumn("quality", Q.score(F.col("text"), False))
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..errors import BudgetExceededError
 from ..functions import quality as Q
 from ..functions import text as T
+from ..steps import stored
 
 # Page decisions.
 MIN_CHARS, MIN_IMAGE_COVERAGE = 20, 0.5
@@ -94,23 +95,25 @@ def repair(pages: DataFrame, ocr: DataFrame | Reader | None = None, transcriber:
     """(doc_id, page, text, source) of pages (doc_id, page, text, rect, images): source is layer, ocr or multimodal.
 
     Pages that need it are read by OCR; those that are still bad go to the transcriber, if config allows it. Readings are given
-    as (doc_id, page, new) or as a function. A document over budget is an error before the first call.
+    as (doc_id, page, new) or as a function, whose readings are stored, so that no page is read twice. A document over budget is an error
+    before the transcriber's first call; that check is an action of this function.
     """
     coverage = image_coverage(F.col("rect"), F.col("images"))
-    marked = pages.withColumn("need", needs_ocr(F.col("text"), coverage))
+    marked = stored(pages.withColumn("need", needs_ocr(F.col("text"), coverage)), "pages")
     out = marked.select("doc_id", "page", "text", "need")
     wanted = marked.where("need")
 
     def readings(rows, by, name):
         if by is None:
             return None
-        got = by if isinstance(by, DataFrame) else read_pages(rows, by)
+        got = by if isinstance(by, DataFrame) else stored(read_pages(rows, by), name)
         return got.join(rows.select("doc_id", "page"), ["doc_id", "page"], "left_semi").withColumnRenamed("new", name)
 
     first = readings(wanted, ocr, "ocr")
     out = out.withColumn("ocr", F.lit(None).cast("string")) if first is None else out.join(first, ["doc_id", "page"], "left")
     if config is not None and transcriber is not None:
-        bad = out.where(F.col("need") & still_bad(F.coalesce("ocr", "text")))
+        bad = out.where(F.col("need") & still_bad(F.coalesce("ocr", "text"))).select("doc_id", "page")
+        bad = bad.join(marked, ["doc_id", "page"]) if "image" in pages.columns else bad
         if worst := over_budget(bad, config.max_pages).orderBy(F.desc("needed")).first():
             raise BudgetExceededError(worst["needed"], config.max_pages)
         second = readings(bad, transcriber, "vlm")

@@ -5,10 +5,12 @@ Each file is one row of a binaryFile scan; a fault of a file is a row with an er
 
 from __future__ import annotations
 
+import importlib
 import io
 import re
+import threading
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -19,7 +21,8 @@ from pyspark.sql.types import StringType, StructField, StructType
 from ..errors import AdapterUnavailableError, UnsupportedFormatError
 from ..operators.candidates import ERROR_CHARS, PDF_BACKENDS
 
-# What tells formats.
+# What tells formats, and seconds that a backend may take for a file.
+BACKEND_SECONDS = 120.0
 PDF_MAGIC, PDF_WINDOW = b"%PDF", 1024
 ZIP_MARKERS = (("word/document.xml", "docx"), ("xl/workbook.xml", "xlsx"))
 EXTENSIONS = {"pdf": "pdf", "docx": "docx", "xlsx": "xlsx"}
@@ -172,9 +175,7 @@ def pdf_pages(backend: str, content: bytes) -> list[str]:
 
             return [p.extract_text() or "" for p in PdfReader(stream).pages]
         if backend == "pymupdf":
-            import pymupdf
-
-            return [p.get_text() for p in pymupdf.open(stream=content, filetype="pdf")]
+            return [p.get_text() for p in _pymupdf().open(stream=content, filetype="pdf")]
         if backend == "pdfplumber":
             import pdfplumber
 
@@ -189,14 +190,28 @@ def pdf_pages(backend: str, content: bytes) -> list[str]:
     raise ValueError(f"unknown backend {backend}")
 
 
-def pdf_spans(content: bytes) -> Iterator[Span]:
-    """Spans with fonts, by PyMuPDF: a line feed after lines and blocks, a form feed between pages."""
-    try:
-        import pymupdf
-    except ImportError as e:
-        raise AdapterUnavailableError("pymupdf is not installed") from e
-    for n, page in enumerate(pymupdf.open(stream=content, filetype="pdf")):
-        if n:
+def _pymupdf():
+    """The module, under its present or its former name."""
+    for name in ("pymupdf", "fitz"):
+        try:
+            return importlib.import_module(name)
+        except ImportError:
+            continue
+    raise AdapterUnavailableError("pymupdf is not installed")
+
+
+def pdf_page_count(content: bytes) -> int:
+    return _pymupdf().open(stream=content, filetype="pdf").page_count
+
+
+def pdf_spans(content: bytes, first: int | None = None, last: int | None = None) -> Iterator[Span]:
+    """Spans with fonts of the pages from first to last (from 0, both included), by PyMuPDF: a line feed after lines and blocks, a form feed
+    between pages."""
+    document = _pymupdf().open(stream=content, filetype="pdf")
+    begin = 0 if first is None else first
+    for n in range(begin, (document.page_count - 1 if last is None else last) + 1):
+        page = document[n]
+        if n > begin:
             yield "\f", "", f"page:{n}", True
         for block in page.get_text("dict")["blocks"]:
             for line in block.get("lines", []):
@@ -225,23 +240,48 @@ def parse_spans(detected: DataFrame) -> DataFrame:
     return detected.where("format is not null").select("path", "content", "format").mapInPandas(run, _SPANS)
 
 
-def sweep_pdfs(detected: DataFrame, backends=PDF_BACKENDS) -> DataFrame:
-    """Each PDF by each backend: (doc_id, ordinal, backend_id, cost, text, error_type, error_message); doc_id is the path."""
+def within(seconds: float, work: Callable):
+    """work()'s result; a TimeoutError once the time is over. What hangs goes on in a thread that ends with the worker."""
+    out: list = []
+
+    def run():
+        try:
+            out.append((work(), None))
+        except Exception as e:
+            out.append((None, e))
+
+    thread = threading.Thread(target=run, daemon=True)
+    thread.start()
+    thread.join(seconds)
+    if not out:
+        raise TimeoutError(f"no result after {seconds:g} seconds")
+    if out[0][1] is not None:
+        raise out[0][1]
+    return out[0][0]
+
+
+def sweep_pdfs(detected: DataFrame, backends=PDF_BACKENDS, seconds: float = BACKEND_SECONDS) -> DataFrame:
+    """Each PDF by each backend: (doc_id, ordinal, backend_id, cost, text, error_type, error_message); doc_id is the path. A file goes to its
+    worker once; a backend that takes longer than `seconds` for it has failed."""
     schema = "doc_id string, ordinal int, backend_id string, cost int, text string, error_type string, error_message string"
 
     def run(parts):
         for part in parts:
             out = []
-            for path, content, ordinal in part.itertuples(index=False):
-                name, cost = backends[ordinal]
-                try:
-                    out.append((path, ordinal, name, cost, "\n\n".join(pdf_pages(name, content)), None, None))
-                except Exception as e:
-                    out.append((path, ordinal, name, cost, None, type(e).__name__, str(e)[:ERROR_CHARS]))
+            for path, content in part.itertuples(index=False):
+                for ordinal, (name, cost) in enumerate(backends):
+                    try:
+                        out.append((path, ordinal, name, cost, "\n\n".join(within(seconds, lambda: pdf_pages(name, content))), None, None))
+                    except Exception as e:
+                        out.append((path, ordinal, name, cost, None, type(e).__name__, str(e)[:ERROR_CHARS]))
             yield pd.DataFrame(out, columns=[x.split()[0] for x in schema.split(", ")])
 
-    each = F.explode(F.array(*(F.lit(i) for i in range(len(backends)))))
-    return detected.where("format = 'pdf'").select("path", "content", each.alias("ordinal")).mapInPandas(run, schema)
+    return detected.where("format = 'pdf'").select("path", "content").mapInPandas(run, schema)
+
+
+def run_counts(spans: DataFrame) -> DataFrame:
+    """(path, runs): spans that are no separators, of each file that has any span."""
+    return spans.where("error_type is null").groupBy("path").agg(F.count_if(~F.coalesce("synthetic", F.lit(False))).alias("runs"))
 
 
 def page_of_spans(spans: DataFrame) -> DataFrame:

@@ -260,3 +260,64 @@ def test_page_texts(spark):
     assert got == {0: "1b\n", 1: "c"}
     docs = spark.createDataFrame([(1, "ab", ["FMAbhaya"]), (2, "ab", ["Arial"])], "doc_id long, text string, fonts array<string>")
     assert {r.doc_id: (r.text, r.method) for r in normalise.normalise_legacy(docs, {"fm_abhaya": {"a": "1"}}).collect()} == {1: ("1b", "font_name"), 2: ("ab", "none")}
+
+
+def test_a_backend_that_hangs_or_fails(spark):
+    import time
+
+    from patraflow.sources import ingest as I
+
+    assert I.within(5, lambda: 3) == 3
+    with pytest.raises(TimeoutError):
+        I.within(0.05, lambda: time.sleep(2))
+    with pytest.raises(KeyError):
+        I.within(5, lambda: {}["x"])
+    d = spark.createDataFrame([("a.pdf", bytearray(b"%PDF-1.4"), "pdf")], "path string, content binary, format string")
+    rows = I.sweep_pdfs(d, seconds=30).collect()
+    assert [r.ordinal for r in sorted(rows, key=lambda r: r.ordinal)] == [0, 1, 2, 3] and all(r.error_type for r in rows)
+
+
+def test_sinks_keep_documents_and_outcomes(spark, tmp_path):
+    from patraflow.sources import sinks
+
+    d = spark.createDataFrame([("a", "some text", None), ("b", " ", None), ("c", None, "E"), ("d", "two\nlines", None)], "doc_id string, text string, error_type string")
+    assert {r.status: r["count"] for r in sinks.status_counts(d).collect()} == {"ok": 2, "skip": 1, "fail": 1}
+    sinks.write_text_files(d.where("doc_id in ('a', 'd')"), str(tmp_path / "out"))
+    (file,) = (tmp_path / "out" / "doc_id=d").glob("part-*")
+    assert file.read_text() == "two\nlines\n"
+    chunks = spark.createDataFrame([("a", 0, "x"), ("a", 1, "y")], "doc_id string, index int, text string")
+    known = spark.createDataFrame([("a", "pdf", 3)], "doc_id string, source_format string, pages int")
+    (row,) = sinks.to_json(chunks, documents=known).collect()
+    import json
+
+    got = json.loads(row.json)
+    assert got["document"] == {"source_format": "pdf", "pages": 3} and [c["text"] for c in got["chunks"]] == ["x", "y"]
+
+
+def test_readings_are_made_once(spark, tmp_path):
+    """Each page that needs it is read once by OCR, though its reading is used three times."""
+    from patraflow.operators import repair as R
+
+    calls = str(tmp_path / "calls")
+
+    def ocr(doc, page, image):
+        with open(calls, "a") as f:
+            f.write(f"{doc}:{page}\n")
+        return "" if page else "a whole page of text, read by a machine"
+
+    box = "named_struct('x0', 0D, 'y0', 0D, 'x1', 100D, 'y1', 100D)"
+    pages = spark.range(3).selectExpr("id as doc_id", "explode(array(0, 1)) as page", "'' as text", f"{box} as rect", f"array({box}) as images")
+    out = R.repair(pages, ocr, lambda d, p, i: "transcribed by a model, at some length", R.MultimodalConfig("gemini"))
+    got = sorted((r.doc_id, r.page, r.source) for r in out.collect())
+    assert got == [(d, p, "multimodal" if p else "ocr") for d in range(3) for p in range(2)]
+    assert sorted(open(calls).read().split()) == sorted(f"{d}:{p}" for d in range(3) for p in range(2))
+
+
+def test_fonts_are_classified_once_a_name(spark):
+    from patraflow.operators import normalise as N
+
+    d = spark.createDataFrame([(1, "x", "FMAbhaya", False), (1, "y", "FMAbhaya", False), (1, "z", None, False), (1, "-", "Arial", True), (2, "w", "Arial", False)], "doc_id int, text string, font string, synthetic boolean")
+    assert sorted(r.font for r in N.font_table(d).collect()) == ["Arial", "FMAbhaya"]
+    got = sorted((r.text, r["class"], r.table) for r in N.with_fonts(d).collect())
+    assert got == [("-", None, None), ("w", "non_sinhala", None), ("x", "legacy_mappable", "fm_abhaya"), ("y", "legacy_mappable", "fm_abhaya"), ("z", None, None)]
+    assert [r.doc_id for r in N.any_legacy(d).collect()] == [1]
