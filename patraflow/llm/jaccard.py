@@ -14,7 +14,7 @@ classes. Exact steps, each of which keeps every link:
    be small enough: with a common pivot P, |A d B| >= u(A) + u(B) + ||P - A| - |P - B||, u being the shingles that no other such class has.
    The bound is met by an equi-join on its buckets, so pairs that it rules out are never made; the classes of a large pivot are dealt to
    as many tasks as they need.
-4. Pairs are pruned by the Hamming distance of short dense sketches, then verified on the whole sets.
+4. Within the joins pairs are pruned by the Hamming distance of short dense sketches; what is left is verified on the whole sets.
 """
 
 from __future__ import annotations
@@ -175,7 +175,7 @@ def _cross(reps: DataFrame, shared: DataFrame, sets: DataFrame) -> tuple[DataFra
     hashes = sets.join(reps.select("rep"), "rep").select("rep", F.explode("hashes").alias("h"))
     own = hashes.groupBy("h").agg(F.min("rep").alias("rep"), F.max("rep").alias("other")).where("rep = other").groupBy("rep").agg(F.count("*").alias("u"))
     size = reps.groupBy("p", "label").agg(F.count("*").alias("k")).groupBy("p").agg(F.max(F.struct("k", "label")).alias("x"), F.ceil(F.sum("k") / ROWS).cast("int").alias("copies")).select("p", F.col("x.label").alias("top"), "copies")
-    rows = reps.join(own, "rep", "left").na.fill(0, ["u"]).join(size, "p")
+    rows = reps.join(own, "rep", "left").na.fill(0, ["u"]).join(size, "p").join(sets.select("rep", "dense"), "rep")
     # nine times the bounds, in whole numbers: a pair needs low(a) <= high(b) and low(b) <= high(a)
     rows = rows.withColumns({"low": F.expr("9 * (u + lost) - n"), "high": F.expr("9 * (lost - u) + n")})
     bucket = lambda c: F.floor(F.col(c) * 4 / F.col("n")).cast("int")
@@ -187,17 +187,19 @@ def _cross(reps: DataFrame, shared: DataFrame, sets: DataFrame) -> tuple[DataFra
     query = rows.where("label <> top").join(most, "p").where(least <= F.col("most")).withColumn("bucket", F.explode(F.sequence(least, F.col("most"))))
     query = query.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
     dealt = rows.withColumn("bucket", F.col("to")).withColumn("salt", F.pmod(F.xxhash64("rep"), F.col("copies")).cast("int"))
-    cols = ["rep", "label", "n", "p", "u", "low", "high", "top", "bucket", "salt"]
+    cols = ["rep", "label", "n", "p", "u", "low", "high", "top", "bucket", "salt", "dense"]
+    # the Hamming distance of the dense sketches prunes within the joins
+    near = " and 9 * (" + " + ".join(f"bit_count(q_dense[{j}] ^ i_dense[{j}])" for j in range(DENSE)) + ") <= q_n + i_n"
     side = lambda x, t: x.select(*[F.col(c).alias(f"{t}_{c}") for c in cols])
     q, i = side(query, "q"), side(dealt, "i")
-    fits = F.expr("q_label <> i_label and q_low <= i_high and i_low <= q_high and (i_label = i_top or struct(q_low, q_rep) > struct(i_low, i_rep))")
+    fits = F.expr("q_label <> i_label and q_low <= i_high and i_low <= q_high and (i_label = i_top or struct(q_low, q_rep) > struct(i_low, i_rep))" + near)
     same = q.join(i, (F.col("q_p") == F.col("i_p")) & (F.col("q_bucket") == F.col("i_bucket")) & (F.col("q_salt") == F.col("i_salt")) & fits)
     # different pivots: by key, from the classes whose pivot is not the key's most frequent one
-    keyed = shared.join(rows.select("rep", "label", "n", "p", "u"), "rep")
+    keyed = shared.join(rows.select("rep", "label", "n", "p", "u", "dense"), "rep")
     most = keyed.groupBy("key", "p").agg(F.count("*").alias("k")).groupBy("key").agg(F.max(F.struct("k", "p")).alias("x"), F.count("*").alias("ps")).where("ps > 1").select("key", F.col("x.p").alias("top"))
     keyed = keyed.join(most, "key")
-    q2, i2 = (x.select("key", *[F.col(c).alias(f"{t}_{c}") for c in ["rep", "label", "n", "p", "u", "top"]]) for x, t in ((keyed.where("p <> top"), "q"), (keyed, "i")))
-    differ = q2.join(i2, "key").where("q_p <> i_p and q_label <> i_label and 9 * (q_u + i_u) <= q_n + i_n and (i_p = i_top or q_rep < i_rep)")
+    q2, i2 = (x.select("key", *[F.col(c).alias(f"{t}_{c}") for c in ["rep", "label", "n", "p", "u", "top", "dense"]]) for x, t in ((keyed.where("p <> top"), "q"), (keyed, "i")))
+    differ = q2.join(i2, "key").where("q_p <> i_p and q_label <> i_label and 9 * (q_u + i_u) <= q_n + i_n and (i_p = i_top or q_rep < i_rep)" + near)
     pairs = same.select("q_rep", "i_rep").unionByName(differ.select("q_rep", "i_rep")).select(F.least("q_rep", "i_rep").alias("a"), F.greatest("q_rep", "i_rep").alias("b"))
     return pairs.distinct(), rows
 
