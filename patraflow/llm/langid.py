@@ -33,7 +33,7 @@ class LanguageModel:
     samples: tuple[bytes, ...]
 
 
-def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", slots: int = 48, passage: int = 1024) -> LanguageModel:
+def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", slots: int = 32, passage: int = 1024) -> LanguageModel:
     """Learns from rows whose text and label aren't null and whose text has a letter. The sample follows hashes of ids and passages; of rows
     that share both, the smaller passage is taken."""
     rows = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(id_col).cast("string")).alias("id"), F.lower(F.col(text_col)).alias("text"))
