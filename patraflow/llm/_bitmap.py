@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import _worker  # noqa: F401
+
 #: log2 of the bits: 16 a member of the set, within these bounds. The upper one (16 MB) is the bound of what is sent to the workers; a set
 #: that fills such a bitmap passes more rows on to the join.
 LEAST, MOST = 12, 27

@@ -6,8 +6,6 @@ mixer at each step (eight bytes of a word; two halves of a sequence), so no alge
 
 from __future__ import annotations
 
-import contextlib
-import ctypes
 import hashlib
 from collections.abc import Iterator
 
@@ -15,6 +13,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from . import _worker  # noqa: F401
+
 LIMIT = (1 << 20) - 8
 U = np.uint64
 _SPACE = np.zeros(256, bool)
@@ -35,26 +35,12 @@ def mix(x: np.ndarray) -> np.ndarray:
 _MASK = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 #: Longer words are hashed one by one.
 _LONG = 512
-_settled = False
-
-
-def settle() -> None:
-    """In a worker: arrays of a megabyte or more go back to the system when they are freed, as an executor has several workers."""
-    global _settled
-    from pyspark import TaskContext
-
-    if not _settled and TaskContext.get() is not None:
-        pa.set_memory_pool(pa.system_memory_pool())
-        with contextlib.suppress(OSError, AttributeError):
-            ctypes.CDLL(None).mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
-    _settled = True
-
-
 _held: tuple = (None, None)
 
 
 def held(key, build):
-    """What build() gives, kept in this process until something else is: a worker that serves several operators holds the tables of one."""
+    """What build() gives, kept in this process until something else is (None: nothing): a worker that serves several operators holds the
+    tables of one."""
     global _held
     if _held[0] != key:
         _held = (None, None)
@@ -64,7 +50,6 @@ def held(key, build):
 
 def groups(batch: pa.RecordBatch, column: str, limit: int = LIMIT) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
     """Rows, their UTF-8 bytes, and where each row's bytes begin (one more for the end). A null text has no bytes."""
-    settle()
     texts = batch.column(batch.schema.get_field_index(column))
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     if not len(texts):

@@ -50,38 +50,37 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_
 
 def suffix_automaton(text: bytes, code: np.ndarray, width: int) -> np.ndarray:
     """States by codes: twice the next state, plus 1 where a new phrase begins. State 0 is the root; unknown bytes lead to it."""
-    link, length, edges = [-1], [0], [{}]
+    flat = np.full((2 * len(text) + 2) * width, -1, np.int32)
+    edge = memoryview(flat)
+    link, length = [-1], [0]
     last = 0
     for c in code[np.frombuffer(text, np.uint8)].tolist():
         new = len(link)
         link.append(0)
         length.append(length[last] + 1)
-        edges.append({})
         p = last
-        while p >= 0 and c not in edges[p]:
-            edges[p][c] = new
+        while p >= 0 and edge[p * width + c] < 0:
+            edge[p * width + c] = new
             p = link[p]
         if p >= 0:
-            q = edges[p][c]
+            q = edge[p * width + c]
             if length[q] == length[p] + 1:
                 link[new] = q
             else:
                 twin = len(link)
                 link.append(link[q])
                 length.append(length[p] + 1)
-                edges.append(dict(edges[q]))
-                while p >= 0 and edges[p].get(c) == q:
-                    edges[p][c] = twin
+                flat[twin * width : (twin + 1) * width] = flat[q * width : (q + 1) * width]
+                while p >= 0 and edge[p * width + c] == q:
+                    edge[p * width + c] = twin
                     p = link[p]
                 link[q] = link[new] = twin
         last = new
-    table = np.full((len(link), width), -1, np.int32)
-    for s, e in enumerate(edges):
-        table[s, list(e)] = list(e.values())
+    table = flat.reshape(-1, width)[: len(link)]
     root = np.maximum(table[0], 0)
     out = np.where(table < 0, 2 * root + 1, 2 * table)
     out[0] = 2 * root + 1
-    return out.astype(np.int32)
+    return out.astype(np.int32, copy=False)
 
 
 def _tables(model: LanguageModel):
@@ -138,6 +137,7 @@ def _predict(model: LanguageModel):
                     lang = np.where(known, np.array(model.languages, object)[best], "und")
                     score = np.where(known, 1 / like.sum(1), 0.0)
                 yield pa.RecordBatch.from_arrays([batch.column(0)[rows], pa.array(lang, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
+        X.held(None, lambda: None)
 
     return run
 

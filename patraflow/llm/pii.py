@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from . import _worker  # noqa: F401
 from ._store import drop, save
 
 KINDS = ("email", "ip", "card", "phone", "secret")

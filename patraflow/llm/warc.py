@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import _worker  # noqa: F401
 from ._bitmap import bitmap, may_contain
 from ._store import folder, release, save
 
