@@ -245,7 +245,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     more = save(_verified(pairs, sets), "links")
     drop(shared, reps, open_, sets)
     if more.limit(1).count():
-        labels = components(links.unionByName(more))
+        # one edge for two components that meet, however many of their classes do
+        named = lambda side: labels.select(F.col("node").alias(f"node_{side}"), F.col("label").alias(f"label_{side}"))
+        ends = more.join(named("a"), F.col("a") == F.col("node_a"), "left").join(named("b"), F.col("b") == F.col("node_b"), "left")
+        ends = ends.select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b")).distinct()
+        labels = components(links.unionByName(ends))
     drop(met, more, further)
     named = classes.join(labels, F.col("rep") == F.col("node"), "left").select("d1", "d2", F.coalesce("label", "rep").alias("component_id"))
     # rows of a class go to as many tasks as they need; classes of a thousandth of the rows or more are a thousand at most
