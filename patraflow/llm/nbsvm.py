@@ -128,7 +128,8 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
     picked = known.groupBy("label", F.pmod("key", F.lit(per_class)).alias("slot")).agg(F.min("key").alias("key")).select("label", "key")
     text = docs.select(F.xxhash64(F.col(id_col).cast("string")).alias("key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = text.join(F.broadcast(picked), "key").groupBy("label", "key").agg(F.min("text").alias("text"))  # per_class rows a class
-    found = sorted(((r["label"], np.array(r["cols"], np.int64)) for r in rows.select("label", "text").mapInArrow(_features, "label int, cols array<int>").collect()), key=lambda x: (x[0], len(x[1]), x[1].tolist()))
+    table = rows.select("label", "text").mapInArrow(_features, "label int, cols array<int>").toArrow()
+    found = sorted(((k, c.values.to_numpy(zero_copy_only=False)) for k, c in zip(table["label"].to_pylist(), table["cols"], strict=True)), key=lambda x: (x[0], len(x[1]), x[1].tobytes()))
     sets, y = [s for _, s in found], np.array([1 if v else -1 for v, _ in found])
     if min((y > 0).sum(), (y < 0).sum()) < 2:
         return None
